@@ -48,6 +48,8 @@ def bucket_cuts(ordered: np.ndarray, buckets: int) -> np.ndarray:
 
 def by_group(uid: np.ndarray, groups: int, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Payloads (g, uid table, index, more...) of places."""
+    if not len(uid):
+        return
     g = np.mod(uid, groups)
     order = np.argsort(g, kind="stable")
     g = g[order]

@@ -49,13 +49,15 @@ ORACLE: dict[str, str] = {
     "op4_quality_rules": rf"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{_WORD}')) AS ls
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls
   FROM documents
+), x AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w
 ), g AS (
-  SELECT doc_id, i, array_to_string(ws[i : i + 4], ' ') AS win
-  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  SELECT doc_id, i, CASE WHEN lead(word, 4) OVER o IS NOT NULL THEN concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) END AS win
+  FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), d AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM g) WHERE n > 1
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM g WHERE win IS NOT NULL) WHERE n > 1
 ), r AS (
   SELECT doc_id, count(DISTINCT p) AS n_rep FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM d) GROUP BY doc_id
 ), m AS (
@@ -64,7 +66,7 @@ WITH w AS (
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_rep, 0)::BIGINT AS n_repeat_words,
          len(ls)::BIGINT AS n_lines, len(regexp_extract_all(array_to_string(ws, ''), '!'))::BIGINT AS n_exclaim,
          len(regexp_extract_all(array_to_string(ws, ''), '[A-Z]'))::BIGINT AS n_upper,
-         len(list_filter(ws, x -> lower(x) IN ({_STOP})))::BIGINT AS n_stop
+         len(list_filter(ws, lambda x: lower(x) IN ({_STOP})))::BIGINT AS n_stop
   FROM w LEFT JOIN r USING (doc_id)
 ), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
