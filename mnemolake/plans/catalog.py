@@ -1,11 +1,459 @@
-"""All queries by name, with their SQL."""
+"""All queries by name, over the driver's tables, with their SQL.
+
+Stand-ins: conversations for the message log, documents for node contents, benchmark for question texts,
+events for slots, versions and accesses, embeddings for vectors, nation/supplier keys for edges.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mnemolake.config import DEFAULTS as S
+from mnemolake.functions import dates, scoring, text
+from mnemolake.operators import bm25, evaluation, linking, memory, retrieval, stage2, vectors
+from mnemolake.shipping import ship
+from mnemolake.sources import store
 
-FLAGSHIP = ""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+FLAGSHIP = "hybrid_ranking"
+NOW = "2024-07-01 00:00:00"
+
+STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_TOK = f"list_filter(regexp_extract_all(lower({{}}), '[a-z0-9_]+'), lambda t: t NOT IN ({STOPS}))"
+
+
+def tok(c: str) -> str:
+    return _TOK.replace("{}", c)
+
+
+def query(name: str, sql: str | None):  # noqa: ANN201
+    def put(f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return put
+
+
+def r6(c: str | F.Column) -> F.Column:
+    return F.round(c, 6)
+
+
+def q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def messages(t: Callable[[str], DataFrame]) -> DataFrame:
+    return t("conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int").alias("message_index"), text.role_of(F.col("role")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+# --- text ---
+
+
+@query("tokenize", f"SELECT doc_id, len({tok('text')})::BIGINT AS n_tokens, array_to_string({tok('text')}[1:5], ' ') AS head, len(list_distinct({tok('text')}))::BIGINT AS n_terms FROM documents")
+def _tokenize(t):  # noqa: ANN001, ANN202
+    d = t("documents").select("doc_id", text.tokens(F.col("text")).alias("k"))
+    return d.select("doc_id", F.size("k").cast("long").alias("n_tokens"), F.array_join(F.slice("k", 1, 5), " ").alias("head"), F.size(F.array_distinct("k")).cast("long").alias("n_terms"))
+
+
+_NORM = r"regexp_replace(regexp_replace(regexp_replace(lower({}), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '^[\s,.:;!?-]+|[\s,.:;!?-]+$', '', 'g')"
+
+
+def norm_sql(c: str) -> str:
+    return _NORM.replace("{}", c)
+
+
+@query("normalizers", f"SELECT conv_id, turn, {norm_sql('text')} AS statement_form, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS folded_form FROM conversations")
+def _normalizers(t):  # noqa: ANN001, ANN202
+    return t("conversations").select("conv_id", "turn", text.normalized(F.col("text")).alias("statement_form"), text.folded(F.col("text")).alias("folded_form"))
+
+
+#: Statements with known slots.
+SAMPLES = [
+    "My preferred language is Python", "Actually, I live in New York", "I prefer dark mode", "I prefer to use Rust", "Never use tabs for indentation", "always use tabs", "I use Python for scripting",
+    "I work at Acme Holdings", "Correction: the API endpoint is https://x.dev", "No, it's Friday", "don't ever write globals", "please always keep backups", "the very long subject with far too many words here is nothing", "", "   ",
+    "That's wrong, my port is 8080", "It worked", "error: disk full", "I meant Berlin", "We prefer using Kafka",
+]
+_VALUES = "(VALUES " + ", ".join(f"({i}, '{q(x)}')" for i, x in enumerate(SAMPLES)) + ") v(id, content)"
+_STRIP = f"regexp_replace(regexp_replace({norm_sql('content')}, '{q(text.CORRECTION_PREFIX)}', ''), '^\\s+|\\s+$', '', 'g')"
+_STATEMENT = norm_sql(_STRIP)
+
+
+@query(
+    "canonical_keys",
+    f"""WITH s AS (SELECT id, {_STATEMENT} AS s FROM {_VALUES}),
+    e AS (SELECT id, s, {norm_sql(f"regexp_extract(s, '{q(text.IS_SLOT)}', 1)")} AS l FROM s),
+    k AS (SELECT id, s, CASE WHEN s = '' THEN NULL WHEN regexp_matches(s, '{q(text.LIVE_IN)}') THEN 'fact:i live in' WHEN regexp_matches(s, '{q(text.WORK_AT)}') THEN 'fact:i work at'
+      WHEN regexp_matches(s, '{q(text.PREFER)}') THEN 'preference:' || ({tok(f"regexp_extract(s, '{q(text.PREFER)}', 1)")})[1]
+      WHEN regexp_matches(s, '{q(text.POLICY)}') THEN 'policy:' || regexp_extract(s, '{q(text.POLICY)}', 1) || ':' || ({tok(f"regexp_extract(s, '{q(text.POLICY)}', 2)")})[1]
+      WHEN regexp_matches(s, '{q(text.IS_SLOT)}') AND l <> '' AND len(string_split(l, ' ')) <= 8 THEN 'fact:' || l END AS key FROM e)
+    SELECT id::BIGINT AS id, s AS statement, key AS slot, CASE WHEN contains(key, ':') THEN split_part(key, ':', 1) END AS family FROM k""",
+)
+def _canonical(t):  # noqa: ANN001, ANN202
+    spark = t("region").sparkSession
+    d = spark.createDataFrame(list(enumerate(SAMPLES)), "id long, content string")
+    k = d.select("id", text.statement_key(F.col("content")).alias("statement"), text.canonical_key(F.col("content")).alias("slot"))
+    return k.withColumn("family", text.key_family(F.col("slot")))
+
+
+def match_sql(kind: str, c: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches({c}, '(?is){q(p)}') THEN regexp_replace(regexp_extract({c}, '(?is){q(p)}', 0), '^\\s+|\\s+$', '', 'g')" for p in text.PATTERNS[kind])
+    return f"CASE {cases} END"
+
+
+_ROLE = "CASE WHEN role IN ('user', 'assistant', 'tool_call', 'tool_result') THEN role WHEN lower(role) LIKE 'assist%' THEN 'assistant' ELSE 'user' END"
+_FOUND = " UNION ALL ".join(f"SELECT conv_id, turn, role, text, '{k}' AS type, {i} AS kind, {match_sql(k, 'text')} AS content FROM conversations" for i, k in enumerate(text.PATTERNS))
+
+
+@query("pattern_matches", f"SELECT conv_id::VARCHAR AS session_id, turn::INT AS message_index, type, content FROM ({_FOUND}) WHERE content IS NOT NULL")
+def _patterns(t):  # noqa: ANN001, ANN202
+    return memory.extracted(messages(t))
+
+
+@query("pattern_samples", f"SELECT id::BIGINT AS id, type, content FROM ({' UNION ALL '.join(f'''SELECT id, '{k}' AS type, {match_sql(k, 'said')} AS content FROM (SELECT id, content AS said FROM {_VALUES})''' for k in text.PATTERNS)}) WHERE content IS NOT NULL")
+def _pattern_samples(t):  # noqa: ANN001, ANN202
+    d = t("region").sparkSession.createDataFrame(list(enumerate(SAMPLES)), "id long, content string")
+    return d.select("id", F.explode(text.matches(F.col("content"))).alias("m")).select("id", "m.type", "m.content")
+
+
+@query("buffer_roles", f"SELECT conv_id::VARCHAR AS session_id, type, count(*)::BIGINT AS n FROM ({_FOUND}) WHERE content IS NOT NULL AND {_ROLE} IN ('user', 'tool_result') GROUP BY ALL")
+def _buffer_roles(t):  # noqa: ANN001, ANN202
+    return memory.extracted(messages(t), ("user", "tool_result")).groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "candidates",
+    f"""WITH f AS (SELECT conv_id::VARCHAR AS session_id, turn AS message_index, kind, type, content FROM ({_FOUND}) WHERE content IS NOT NULL),
+    a AS (SELECT *, row_number() OVER (PARTITION BY session_id, type, left(content, 100) ORDER BY message_index, kind) AS n FROM f),
+    b AS (SELECT *, {_STATEMENT} AS statement FROM a WHERE n = 1),
+    c AS (SELECT *, row_number() OVER (PARTITION BY session_id, statement ORDER BY message_index, kind) AS m FROM b)
+    SELECT session_id, message_index::INT AS message_index, type, statement, CASE type WHEN 'preference' THEN 'procedural' WHEN 'outcome' THEN 'episodic' ELSE 'semantic' END AS node_type,
+      CASE type WHEN 'correction' THEN 0.9 WHEN 'fact' THEN 0.8 WHEN 'preference' THEN 0.75 ELSE 0.65 END::DOUBLE AS confidence FROM c WHERE m = 1""",
+)
+def _candidates(t):  # noqa: ANN001, ANN202
+    return memory.candidates(messages(t), F.lit(NOW).cast("timestamp")).select("session_id", "message_index", "type", "statement", "node_type", "confidence")
+
+
+@query(
+    "entity_forms",
+    f"""WITH n AS (SELECT page_id, url, regexp_replace(lower(url), '^\\s+|\\s+$', '', 'g') AS low FROM pages)
+    SELECT page_id, CASE WHEN regexp_matches(low, '{text.DOMAIN}') AND NOT contains(low, ' ') THEN replace(regexp_extract(low, '{text.DOMAIN}', 1), '-', ' ') ELSE low END AS form FROM n
+    WHERE regexp_matches(low, '{text.DOMAIN}')""",
+)
+def _entity_forms(t):  # noqa: ANN001, ANN202
+    low = text.stripped(F.lower("url"))
+    return t("pages").where(low.rlike(text.DOMAIN)).select("page_id", text.entity_form(F.col("url")).alias("form"))
+
+
+@query(
+    "alias_index",
+    f"""WITH f AS (SELECT DISTINCT page_id, replace(regexp_extract(lower(url), '{text.DOMAIN}', 1), '-', ' ') AS form FROM pages WHERE regexp_matches(lower(url), '{text.DOMAIN}'))
+    SELECT form, count(*)::BIGINT AS owners, min(page_id) AS first_id FROM f GROUP BY form""",
+)
+def _alias_index(t):  # noqa: ANN001, ANN202
+    n = t("pages").where(F.lower("url").rlike(text.DOMAIN)).select(F.col("page_id").alias("id"), F.col("url").alias("content"), F.array().cast("array<string>").alias("aliases"))
+    return memory.alias_index(n).select("form", F.size("ids").cast("long").alias("owners"), F.array_min("ids").alias("first_id"))
+
+
+# --- BM25 ---
+
+_POST = f"""tk AS (SELECT doc_id AS doc, unnest({tok('text')}) AS term FROM documents), tf AS (SELECT doc, term, count(*) AS tf FROM tk GROUP BY ALL),
+ ln AS (SELECT doc_id AS doc, len({tok('text')}) AS l FROM documents), st AS (SELECT count(*) AS n, sum(l) / count(*) AS avgdl FROM ln)"""
+_SCORED = f"""{_POST}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), q AS (SELECT item_id, unnest({tok('text')}) AS term FROM benchmark), qt AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+ sc AS (SELECT item_id, tf.doc, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN ln ON ln.doc = tf.doc CROSS JOIN st GROUP BY ALL),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc) AS rank FROM sc)"""
+
+
+@query("bm25_stats", f"WITH {_POST} SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl FROM st")
+def _bm25_stats(t):  # noqa: ANN001, ANN202
+    return bm25.stats(t("documents"), "doc_id", "text").select("n", r6("avgdl").alias("avgdl"))
+
+
+@query("bm25_idf", f"WITH {_POST}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT term, df::BIGINT AS df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN st")
+def _bm25_idf(t):  # noqa: ANN001, ANN202
+    d = t("documents")
+    return bm25.idf(bm25.postings(d, "doc_id", "text"), bm25.stats(d, "doc_id", "text")).select("term", "df", r6("idf").alias("idf"))
+
+
+def _hits(t, k: int = 5) -> DataFrame:  # noqa: ANN001
+    return bm25.search(t("documents"), t("benchmark"), "doc_id", "text", "item_id", "text", k)
+
+
+@query("bm25_search", f"WITH {_SCORED} SELECT item_id AS query, doc, round(score, 6) AS score, rank::INT AS rank FROM rk WHERE rank <= 5")
+def _bm25_search(t):  # noqa: ANN001, ANN202
+    return _hits(t).select("query", "doc", r6("score").alias("score"), "rank")
+
+
+@query("lexical_anchors", f"WITH {_SCORED}, x AS (SELECT item_id, doc, score / max(score) OVER (PARTITION BY item_id) AS lex FROM rk WHERE rank <= 50) SELECT item_id AS query, doc, round(lex, 6) AS lexical FROM x WHERE lex >= 0.5")
+def _lexical_anchors(t):  # noqa: ANN001, ANN202
+    return bm25.anchors(_hits(t, 50), S.anchor_ratio).select("query", "doc", r6("lexical").alias("lexical"))
+
+
+@query("raw_log_fallback", None)
+def _raw_log(t):  # noqa: ANN001, ANN202
+    asked = t("benchmark").select(F.col("item_id").alias("query"), "text")
+    m = messages(t).withColumn("timestamp", F.lit(NOW).cast("timestamp"))
+    return retrieval.raw_log(m, asked).select("query", "content", r6("score").alias("score"), "source", "ordinal")
+
+
+# --- events as slots, versions, accesses ---
+
+_EV = "SELECT event_id, user_id || ':' || event_type AS key, event_type || ' ' || (value::BIGINT % 3) AS statement, ts FROM events"
+
+
+def _statements(t):  # noqa: ANN001, ANN202
+    return t("events").select(
+        F.col("event_id").alias("id"), F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id").alias("ord"), F.concat_ws(":", "user_id", "event_type").alias("key"),
+        F.concat_ws(" ", "event_type", (F.round("value").cast("long") % 3).cast("string")).alias("statement"), F.lit(False).alias("is_correction"), F.col("user_id").cast("string").alias("session"), F.lit(0).alias("msg"),
+    )
+
+
+@query(
+    "supersession",
+    f"""WITH e AS ({_EV.replace("(value::BIGINT % 3)", "(round(value)::BIGINT % 3)")}) SELECT a.event_id AS id, (SELECT b.event_id FROM e b WHERE b.key = a.key AND (b.ts, b.event_id) > (a.ts, a.event_id) AND b.statement <> a.statement ORDER BY b.ts, b.event_id LIMIT 1) AS by
+    FROM e a WHERE EXISTS (SELECT 1 FROM e b WHERE b.key = a.key AND (b.ts, b.event_id) > (a.ts, a.event_id) AND b.statement <> a.statement)""",
+)
+def _supersession(t):  # noqa: ANN001, ANN202
+    return memory.superseded(_statements(t)).select("id", "by")
+
+
+@query("first_statements", f"WITH e AS ({_EV.replace('(value::BIGINT % 3)', '(round(value)::BIGINT % 3)')}) SELECT key, statement, min_by(event_id, (ts, event_id)) AS id FROM e GROUP BY ALL")
+def _first_statements(t):  # noqa: ANN001, ANN202
+    return memory.first_by(_statements(t), ["key", "statement"], ["ord"]).select("key", "statement", "id")
+
+
+_VERSIONS = "SELECT event_id, user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS valid_to FROM events"
+
+
+def _versions(t):  # noqa: ANN001, ANN202
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    return t("events").select("event_id", "user_id", "event_type", F.col("ts").alias("valid_from"), F.lead("ts").over(w).alias("valid_to"))
+
+
+@query("slot_versions", _VERSIONS)
+def _slot_versions(t):  # noqa: ANN001, ANN202
+    return _versions(t)
+
+
+@query("as_of", f"WITH m AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS middle FROM events) SELECT v.event_id, v.user_id, v.event_type FROM ({_VERSIONS}) v CROSS JOIN (SELECT make_timestamp((floor(epoch(middle)) * 1000000)::BIGINT) AS moment FROM m) WHERE valid_from <= moment AND (valid_to IS NULL OR valid_to > moment)")
+def _as_of(t):  # noqa: ANN001, ANN202
+    ends = t("events").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    at = ends.select(F.timestamp_seconds(F.floor((us("a") + (us("b") - us("a")) / 2) / 1e6)).cast("timestamp_ntz").alias("at"))
+    return _versions(t).crossJoin(F.broadcast(at)).where(dates.valid_at(F.col("valid_from"), F.col("valid_to"), F.col("at"))).select("event_id", "user_id", "event_type")
+
+
+@query("temporal_chain", "SELECT lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS source, event_id AS target, 'temporal' AS type, 1.0::DOUBLE AS weight FROM events QUALIFY source IS NOT NULL")
+def _temporal_chain(t):  # noqa: ANN001, ANN202
+    return memory.chained(t("events"), ["user_id"], ["ts", "event_id"], "event_id")
+
+
+_P90 = "greatest(list_sort(list(c))[least(floor(count(*) * 0.9)::INT, count(*)::INT - 1) + 1], 1)::DOUBLE"
+
+
+@query("access_p90", f"SELECT {_P90} AS p90, quantile_disc(c, 0.5)::DOUBLE AS median FROM (SELECT user_id, count(*) AS c FROM events GROUP BY user_id)")
+def _p90(t):  # noqa: ANN001, ANN202
+    c = t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("c"))
+    return scoring.p90_of(c, "c").crossJoin(c.agg(F.percentile_disc(0.5, "c").cast("double").alias("median")) if hasattr(F, "percentile_disc") else c.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY c)").cast("double").alias("median")))
+
+
+@query(
+    "strength",
+    f"""WITH n AS (SELECT user_id, count(*) AS c, max(ts) AS last FROM events GROUP BY user_id), p AS (SELECT {_P90} AS p90 FROM n),
+    s AS (SELECT user_id, pow(1 + 0.1 * greatest(epoch(TIMESTAMP '{NOW}' - last) / 3600.0, 0), -0.3) AS rec, least(c / p90, 1.0) AS freq FROM n CROSS JOIN p)
+    SELECT user_id, round(rec, 6) AS recency, round(freq, 6) AS frequency, round(0.4 * rec + 0.6 * freq, 6) AS composite FROM s""",
+)
+def _strength(t):  # noqa: ANN001, ANN202
+    n = t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("c"), F.max("ts").cast("timestamp").alias("last"))
+    now, joined = F.lit(NOW).cast("timestamp"), n.crossJoin(F.broadcast(scoring.p90_of(n, "c")))
+    return joined.select("user_id", r6(scoring.recency(F.col("last"), now)).alias("recency"), r6(scoring.frequency(F.col("c"), F.col("p90"))).alias("frequency"), r6(scoring.strength(F.col("last"), F.col("c"), now, F.col("p90"))).alias("composite"))
+
+
+@query("reinforcement", "SELECT user_id AS id, 1 + count(*)::BIGINT AS access_count, max(ts) AS last_accessed FROM events GROUP BY user_id")
+def _reinforcement(t):  # noqa: ANN001, ANN202
+    ids = t("events").select(F.col("user_id").alias("id")).distinct().select("id", F.lit(1).cast("long").alias("access_count"), F.lit("1970-01-01").cast("timestamp_ntz").alias("last_accessed"), F.lit("active").alias("status"))
+    return retrieval.reinforced(ids, t("events").select(F.col("user_id").alias("node_id"), F.col("ts").alias("at"))).select("id", "access_count", "last_accessed")
+
+
+# --- vectors, graph, ranking ---
+
+_SIM = f"SELECT a.vec_id AS query, b.vec_id AS node, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id"
+
+
+def _sims(t, least: float) -> DataFrame:  # noqa: ANN001
+    e = t("embeddings")
+    return vectors.similar(e.where("vec_id % 20 = 0"), e, "vec_id", "vec_id", "embedding", least).where("query != node")
+
+
+@query("semantic_anchors", f"SELECT query, node, round(sim, 5) AS sim FROM ({_SIM}) WHERE sim >= 0.3")
+def _semantic(t):  # noqa: ANN001, ANN202
+    return _sims(t, S.embed_threshold).select("query", "node", F.round("sim", 5).alias("sim"))
+
+
+@query("nearest_node", f"SELECT query, max_by(node, sim) AS node, round(max(sim), 5) AS sim FROM ({_SIM}) WHERE sim >= 0.3 GROUP BY query")
+def _nearest(t):  # noqa: ANN001, ANN202
+    return vectors.nearest(_sims(t, S.embed_threshold)).select("query", "node", F.round("sim", 5).alias("sim"))
+
+
+@query("near_duplicates", f"SELECT query, node FROM ({_SIM}) WHERE sim >= 0.92")
+def _near_duplicates(t):  # noqa: ANN001, ANN202
+    e = t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    n = t("embeddings").where("vec_id % 20 != 0").select(F.col("vec_id").alias("id"), "embedding")
+    return linking.near_duplicates(e, n).select("query", "node")
+
+
+@query("cosine_native", "SELECT a.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS sim, round(sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 5) AS length FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _cosine(t):  # noqa: ANN001, ANN202
+    a, b = t("embeddings").select("vec_id", "embedding"), t("embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return a.join(b, "vec_id").select("vec_id", F.round(scoring.cosine(F.col("embedding"), F.col("other")), 5).alias("sim"), F.round(scoring.norm(F.col("embedding")), 5).alias("length"))
+
+
+_EDGES = "SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b, (s_suppkey % 7 - 1) / 6.0 AS w FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0.5 FROM nation"
+
+
+def _edges(t):  # noqa: ANN001, ANN202
+    a = t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("source"), F.concat(F.lit("n"), "s_nationkey").alias("target"), ((F.col("s_suppkey") % 7 - 1) / 6.0).alias("weight"))
+    return a.unionByName(t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("source"), F.concat(F.lit("r"), "n_regionkey").alias("target"), F.lit(0.5).alias("weight")))
+
+
+@query(
+    "neighbour_expansion",
+    f"""WITH e AS ({_EDGES}), u AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), q AS (SELECT n_regionkey AS query, 'n' || n_nationkey AS a FROM nation)
+    SELECT query, b AS node, round(max(greatest(w, 0) * 0.6), 6) AS association FROM q JOIN u USING (a) WHERE NOT EXISTS (SELECT 1 FROM q x WHERE x.query = q.query AND x.a = u.b) GROUP BY query, b HAVING max(w) > 0""",
+)
+def _neighbours(t):  # noqa: ANN001, ANN202
+    anchors = t("nation").select(F.col("n_regionkey").alias("query"), F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    return memory.expanded(anchors, _edges(t), S.neighbor_decay).select("query", "node", r6("association").alias("association"))
+
+
+@query("incident_edges", f"WITH e AS ({_EDGES}) SELECT id, count(*)::BIGINT AS n FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY id")
+def _incident(t):  # noqa: ANN001, ANN202
+    return _edges(t).select(F.explode(F.array_distinct(F.array("source", "target"))).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("severed_edges", f"WITH e AS ({_EDGES}) SELECT a AS source, b AS target FROM e WHERE a NOT IN ('n1', 'n5', 's3') AND b NOT IN ('n1', 'n5', 's3')")
+def _severed(t):  # noqa: ANN001, ANN202
+    from mnemolake.operators.deletion import edges_without
+
+    gone = t("region").sparkSession.createDataFrame([("n1",), ("n5",), ("s3",)], "id string")
+    return edges_without(_edges(t), gone).select("source", "target")
+
+
+_BLEND = "greatest(0.55 * greatest(sem, 0) + 0.20 * lex + 0.15 * st + 0.10 * conf + 0.10 * assoc - (1 - bonus) * 0.35, 0)"
+
+
+@query(
+    "hybrid_ranking",
+    f"""WITH {_SCORED}, b AS (SELECT item_id, max(score) AS best FROM rk WHERE rank <= 50 GROUP BY item_id),
+    a AS (SELECT item_id, doc, score / best AS lex FROM rk JOIN b USING (item_id) WHERE rank <= 50 AND score / best >= 0.5),
+    f AS (SELECT item_id, doc, lex, 0.0 AS sem, 0.0 AS assoc, (doc % 10) / 10.0 AS conf, CASE WHEN doc % 4 = 0 THEN 0.0 ELSE 1.0 END AS bonus, least((doc % 20 + 1) / 19.0, 1.0) * 0.6 + 0.4 AS st FROM a),
+    s AS (SELECT item_id, doc, {_BLEND} AS score FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc) AS rank FROM s)
+    SELECT item_id AS query, doc AS node_id, round(score, 6) AS score, rank::BIGINT AS ordinal FROM r WHERE rank <= 10""",
+)
+def _hybrid(t):  # noqa: ANN001, ANN202
+    """Lexical retrieval with history over all documents; the other features are functions of the id."""
+    now = F.lit(NOW).cast("timestamp")
+    nodes = t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.array().cast("array<float>").alias("embedding"), (F.col("doc_id") % 20 + 1).alias("access_count"), now.alias("last_accessed"), now.alias("created_at"), F.when(F.col("doc_id") % 4 == 0, "superseded").otherwise("active").alias("status"), (F.col("doc_id") % 10 / 10.0).alias("confidence"), F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+    edges = t("region").sparkSession.createDataFrame([], "source long, target long, weight double")
+    asked = t("benchmark").select(F.col("item_id").alias("query"), "text")
+    return retrieval.graph(nodes, edges, asked, now, include_history=True, semantic=False).select("query", "node_id", r6("score").alias("score"), "ordinal")
+
+
+@query("merged_results", "WITH x AS (SELECT o_custkey AS query, left(o_orderpriority, 200) AS p, o_orderkey, round(o_totalprice, 2) AS score, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS src FROM orders), y AS (SELECT *, row_number() OVER (PARTITION BY query, p ORDER BY score DESC, src, o_orderkey) AS n FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, src, o_orderkey) AS rank FROM y WHERE n = 1) SELECT query, p AS content, score, rank::INT AS rank FROM z WHERE rank <= 3")
+def _merged(t):  # noqa: ANN001, ANN202
+    o = t("orders")
+    part = lambda cond, name: o.where(cond).select(F.col("o_custkey").alias("query"), F.lit("").alias("node_id"), F.col("o_orderpriority").alias("content"), F.round("o_totalprice", 2).alias("score"), F.lit(name).alias("source"), F.col("o_orderkey").alias("ordinal"))
+    return retrieval.merged([part("o_orderstatus = 'O'", "buffer"), part("o_orderstatus = 'F'", "graph"), part("o_orderstatus NOT IN ('O', 'F')", "raw_log")], 3).select("query", "content", "score", "rank")
+
+
+# --- log, progress, chunks, JSON ---
+
+
+@query("session_status", "SELECT conv_id::VARCHAR AS session_id, count(*)::BIGINT AS messages, max(turn)::INT + 1 AS next FROM conversations GROUP BY conv_id")
+def _status(t):  # noqa: ANN001, ANN202
+    m = messages(t)
+    return m.groupBy("session_id").agg(F.count(F.lit(1)).alias("messages")).join(store.next_index(m), "session_id")
+
+
+@query("pending_messages", "SELECT conv_id::VARCHAR AS session_id, count(*)::BIGINT AS n FROM conversations WHERE turn > CASE WHEN conv_id % 3 = 0 THEN 1 ELSE -1 END GROUP BY conv_id")
+def _pending(t):  # noqa: ANN001, ANN202
+    m = messages(t)
+    done = m.where("CAST(session_id AS BIGINT) % 3 = 0").select("session_id").distinct().select("session_id", F.lit(1).alias("last_msg_index"))
+    return store.pending(m, done).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("transcript_chunks", f"WITH n AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS chunk, '[' || turn || '] ' || {_ROLE} || ': ' || text AS line FROM conversations) SELECT conv_id::VARCHAR AS session_id, chunk::INT AS chunk, min(turn)::INT AS first, max(turn)::INT AS last, string_agg(line, chr(10) ORDER BY turn) AS transcript FROM n GROUP BY conv_id, chunk")
+def _chunks(t):  # noqa: ANN001, ANN202
+    from dataclasses import replace
+
+    return stage2.chunks(messages(t), replace(S, stage2_max_messages=3))
+
+
+@query("json_props", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def _json(t):  # noqa: ANN001, ANN202
+    return t("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("substring_search", "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license')")
+def _substring(t):  # noqa: ANN001, ANN202
+    return t("documents").where(F.contains(F.lower("text"), F.lower(F.lit("License")))).select("doc_id", "lang")
+
+
+@query("deleted_messages", "SELECT conv_id::VARCHAR AS session_id, turn::INT AS message_index FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.turn = 0 AND d.conv_id % 5 = 0 AND trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(c.text), '\\s+', ' ', 'g')))")
+def _deleted(t):  # noqa: ANN001, ANN202
+    from mnemolake.operators.deletion import rows_without
+
+    m = messages(t)
+    return rows_without(m, m.where("message_index = 0 AND CAST(session_id AS BIGINT) % 5 = 0")).select("session_id", "message_index")
+
+
+@query("tombstones", "SELECT doc_id AS node_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS content_hash FROM documents WHERE doc_id % 50 = 0")
+def _tombstones(t):  # noqa: ANN001, ANN202
+    return t("documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("node_id"), F.sha2(text.folded(F.col("text")), 256).alias("content_hash"))
+
+
+@query("upserted_rows", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 10 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 7 <> 1")
+def _upserted(t):  # noqa: ANN001, ANN202
+    s = t("supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return store.upserted(s, s.where("s_suppkey % 10 = 0 AND s_suppkey % 7 <> 1").withColumn("s_acctbal", F.lit(0.0)), s.where("s_suppkey % 7 = 1"), "s_suppkey")
+
+
+# --- dates ---
+
+DATED = ["From 2026-03-01 the API endpoint is x", "closed until 2026-04-10", "seen 2026-02-03 in passing", "since 2026-01-05 till 2026-02-06", "no date"]
+
+
+@query("validity_windows", "SELECT * FROM (VALUES (0::BIGINT, '2026-03-01', NULL::VARCHAR), (1, NULL, '2026-04-10'), (2, NULL, NULL), (3, '2026-01-05', '2026-02-06'), (4, NULL, NULL)) v(id, valid_from, valid_to)")
+def _validity(t):  # noqa: ANN001, ANN202
+    d = t("region").sparkSession.createDataFrame(list(enumerate(DATED)), "id long, said string").withColumn("dates", dates.mentions(F.col("said"), F.lit(NOW).cast("timestamp")))
+    return d.select("id", dates.validity(F.col("said"), F.col("dates")).alias("w")).select("id", F.col("w.valid_from").cast("string").alias("valid_from"), F.col("w.valid_to").cast("string").alias("valid_to"))
+
+
+@query("parsed_timestamps", "SELECT event_id, ts AS at FROM events")
+def _timestamps(t):  # noqa: ANN001, ANN202
+    return t("events").select("event_id", dates.timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).cast("timestamp_ntz").alias("at"))
+
+
+# --- evaluation ---
+
+
+@query("eval_summary", f"WITH {_SCORED}, h AS (SELECT b.item_id, b.item_id % 4 AS category, min(rank) FILTER (WHERE contains(lower(d.text), lower(left(b.text, 40)))) AS rank FROM benchmark b LEFT JOIN rk ON rk.item_id = b.item_id AND rank <= 5 LEFT JOIN documents d ON d.doc_id = rk.doc GROUP BY ALL) SELECT category, count(*)::BIGINT AS questions, round(avg((rank IS NOT NULL)::INT), 6) AS recall, round(avg(coalesce(1 / log2(rank + 1), 0)), 6) AS ndcg FROM h GROUP BY category")
+def _eval(t):  # noqa: ANN001, ANN202
+    results = _hits(t).join(t("documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content")), "doc").select("query", "content", "rank")
+    asked = t("benchmark").select(F.col("item_id").alias("question"), (F.col("item_id") % 4).alias("category"), F.array(F.substring("text", 1, 40)).alias("expected"), F.array().cast("array<string>").alias("forbidden"))
+    s = evaluation.summary(evaluation.first_hits(results, asked), ["category"])
+    return s.select("category", "questions", r6("recall").alias("recall"), r6("ndcg").alias("ndcg"))
+
+
+@query("latency_percentiles", "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events")
+def _latency(t):  # noqa: ANN001, ANN202
+    return evaluation.latency(t("events"), "value").select(r6("p50").alias("p50"), r6("p95").alias("p95"))
