@@ -144,7 +144,7 @@ def repeats(docs: DataFrame, groups: int, rows: int) -> DataFrame:
     buckets = partitions(docs.sparkSession)
     sent = docs.select("uid", "text").mapInArrow(_blocks(groups, buckets, anchors.hash_bits(rows * 600)), anchors.SENT)
     hits = anchors.repeated(sent, groups)
-    sent = docs.select("uid", "text", "g").groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_windows(groups, buckets), anchors.SENT)
+    sent = docs.select("doc_id", "uid", "text", "g").groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_windows(groups, buckets), anchors.SENT)
     return anchors.dealt(sent).mapInArrow(_confirmed(groups), anchors.BACK)
 
 
