@@ -15,8 +15,9 @@ No group is gathered in one task and no bucket is paired with itself:
 2. each bucket names its least member as centre, and every member is checked against it;
 3. links are contracted to components by alternating large and small stars;
 4. where a bucket still spans several components, its members outside its largest component
-   are checked against the members of other components. Pairs inside a component need no
-   check, so after this step no candidate pair of different components is left unchecked.
+   are first checked against one drawn member of that, PROBES times over; links contract again;
+5. what still lies outside is checked against all members of other components. Pairs inside
+   a component need no check, so no candidate pair of different components is left unchecked.
 
 Null text counts as empty. Rows without a doc_id are linked with nothing: component_id is
 null and kept true. Rows with one doc_id and different texts are all linked through that id.
@@ -37,6 +38,8 @@ from mnemolake.llm.base import U64, checkpointed, flat, grams, lowered, mix, pas
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 48, 5
+#: Turns of probing one drawn member of a bucket's largest component before the members left are checked one by one.
+PROBES = 2
 SPACE_BITS = 20
 #: Ids of candidate documents that may be broadcast to pick their texts; above it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -129,7 +132,8 @@ def confirmed(pairs: DataFrame, light: DataFrame) -> DataFrame:
     ids = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")
     if pairs.count() * 2 <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    own = light.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_blobs, "doc_id long, own binary")
+    # one set for each id; the sum leaves them dealt by id, as both joins want them
+    own = light.join(ids, "doc_id", "left_semi").mapInArrow(_set_blobs, "doc_id long, own binary").groupBy("doc_id").agg(F.first("own").alias("own"))
     left, right = own.select(F.col("doc_id").alias("u"), F.col("own").alias("a")), own.select(F.col("doc_id").alias("v"), F.col("own").alias("b"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long")
 
@@ -155,6 +159,32 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (band, rep, centre, c, main) of buckets that still hold several components; main is the bucket's largest."""
+    of = F.coalesce("component", "rep")
+    placed = shared.where("n > 2").join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", "centre", of.alias("c"))
+    sizes = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return checkpointed(placed.join(main, "band").select("band", "rep", "centre", "c", "main"))
+
+
+def _pairs(both: DataFrame) -> DataFrame:
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _probes(left: DataFrame, turn: int) -> DataFrame:
+    """Members outside their bucket's main component, each with one member of it, drawn anew for each bucket and turn."""
+    drawn = left.where("c = main").groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", "band", F.lit(turn)), F.col("rep").alias("v")))["v"].alias("v"))
+    return _pairs(left.where("c != main").select("band", F.col("rep").alias("u")).join(drawn, "band"))
+
+
+def _remaining(left: DataFrame) -> DataFrame:
+    """All pairs across components that no centre has settled."""
+    x = left.where("c != main").select("band", F.col("rep").alias("u"), F.col("c").alias("cu"))
+    y = left.select("band", F.col("rep").alias("v"), F.col("c").alias("cv"), "main", "centre")
+    return _pairs(x.join(y, "band").where("cu != cv AND (cv = main OR u < v) AND v != centre AND u != centre"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_shingles, component_id and kept."""
     light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -168,18 +198,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = checkpointed(shared.where("rep != centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct())
     first = checkpointed(confirmed(pairs, light))
     found = components(first)
-    # buckets that hold members of several components still
-    of = F.coalesce("component", "rep")
-    placed = shared.where("n > 2").join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", "centre", of.alias("c"))
-    sizes = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = checkpointed(placed.join(main, "band").select("band", "rep", "centre", "c", "main"))
-    x = open_.where("c != main").select("band", F.col("rep").alias("u"), F.col("c").alias("cu"))
-    y = open_.select("band", F.col("rep").alias("v"), F.col("c").alias("cv"), "main", "centre")
-    rest = x.join(y, "band").where("cu != cv AND (cv = main OR u < v) AND v != centre AND u != centre").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    rest = checkpointed(rest)
-    if not rest.isEmpty():
-        found = components(first.unionByName(confirmed(rest, light)))
+    for turn in range(PROBES + 1):
+        left = _open(shared, found)
+        if left.isEmpty():
+            break
+        rest = checkpointed(_probes(left, turn) if turn < PROBES else _remaining(left))
+        links = checkpointed(confirmed(rest, light))
+        if not links.isEmpty():
+            found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
     # documents of equal sets, and rows of equal ids
     copy = one.where("copies > 1").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "rep")
     tied = some.join(copy, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")), "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
