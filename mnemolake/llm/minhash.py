@@ -12,10 +12,12 @@ BANDS bands of ROWS coordinates: a pair of similarity s meets in one with probab
 
 No group is gathered in one task and no bucket is paired with itself:
 1. documents of equal sets are summed to one representative (map-side combined);
-2. each bucket names its least member as centre, and every member is checked against it;
+2. each bucket names its least member as centre; a document is checked against the centre that
+   most of its buckets name, the one likest to it;
 3. links are contracted to components by alternating large and small stars;
-4. where a bucket still spans several components, its members outside its largest component
-   are first checked against one drawn member of that, PROBES times over; links contract again;
+4. where a bucket still spans several components, a member outside its largest component is
+   checked against a drawn member of that, PROBES turns over, one pair for each document and
+   turn; links contract again. So most members of a large group need a few pairs, not all;
 5. what still lies outside is checked against all members of other components. Pairs inside
    a component need no check, so no candidate pair of different components is left unchecked.
 
@@ -38,8 +40,8 @@ from mnemolake.llm.base import U64, checkpointed, flat, grams, lowered, mix, pas
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 48, 5
-#: Turns of probing one drawn member of a bucket's largest component before the members left are checked one by one.
-PROBES = 2
+#: Turns of probing one drawn member of the largest component, before the members left are checked one by one.
+PROBES = 5
 SPACE_BITS = 20
 #: Ids of candidate documents that may be broadcast to pick their texts; above it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -162,7 +164,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
     """Members (band, rep, centre, c, main) of buckets that still hold several components; main is the bucket's largest."""
     of = F.coalesce("component", "rep")
-    placed = shared.where("n > 2").join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", "centre", of.alias("c"))
+    placed = shared.join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", "centre", of.alias("c"))
     sizes = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("band").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     return checkpointed(placed.join(main, "band").select("band", "rep", "centre", "c", "main"))
@@ -173,16 +175,24 @@ def _pairs(both: DataFrame) -> DataFrame:
 
 
 def _probes(left: DataFrame, turn: int) -> DataFrame:
-    """Members outside their bucket's main component, each with one member of it, drawn anew for each bucket and turn."""
-    drawn = left.where("c = main").groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", "band", F.lit(turn)), F.col("rep").alias("v")))["v"].alias("v"))
-    return _pairs(left.where("c != main").select("band", F.col("rep").alias("u")).join(drawn, "band"))
+    """Each member outside its bucket's main component with one member of it: of those that its buckets name, the one they name most often.
+
+    At first a bucket names its centre, later a member of the main component drawn anew each turn.
+    """
+    if turn:
+        drawn = left.where("c = main").groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("v")))["v"].alias("v"))
+        named = left.where("c != main").select("band", F.col("rep").alias("u")).join(drawn, "band")
+    else:
+        named = left.where("rep != centre").select(F.col("rep").alias("u"), F.col("centre").alias("v"))
+    often = named.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")).groupBy("u").agg(F.max(F.struct("k", (-F.col("v")).alias("w")))["w"].alias("w"))
+    return _pairs(often.select("u", (-F.col("w")).alias("v")))
 
 
 def _remaining(left: DataFrame) -> DataFrame:
-    """All pairs across components that no centre has settled."""
+    """All pairs across components."""
     x = left.where("c != main").select("band", F.col("rep").alias("u"), F.col("c").alias("cu"))
-    y = left.select("band", F.col("rep").alias("v"), F.col("c").alias("cv"), "main", "centre")
-    return _pairs(x.join(y, "band").where("cu != cv AND (cv = main OR u < v) AND v != centre AND u != centre"))
+    y = left.select("band", F.col("rep").alias("v"), F.col("c").alias("cv"), "main")
+    return _pairs(x.join(y, "band").where("cu != cv AND (cv = main OR u < v)"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,14 +205,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     member = one.select("rep", F.explode("bands").alias("band"))
     centre = member.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("other"), F.count(F.lit(1)).alias("n")).where("centre != other")
     shared = checkpointed(member.join(centre, "band").select("band", "rep", "centre", "n"))
-    pairs = checkpointed(shared.where("rep != centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct())
-    first = checkpointed(confirmed(pairs, light))
-    found = components(first)
-    for turn in range(PROBES + 1):
-        left = _open(shared, found)
-        if left.isEmpty():
-            break
-        rest = checkpointed(_probes(left, turn) if turn < PROBES else _remaining(left))
+    found = light.sparkSession.createDataFrame([], "node long, component long")
+    tested = light.sparkSession.createDataFrame([], "u long, v long")
+    for turn in range(PROBES + 2):
+        left = _open(shared, found) if turn else shared.select("band", "rep", "centre", F.col("rep").alias("c"), F.col("centre").alias("main"))
+        rest = checkpointed((_probes(left, turn) if turn <= PROBES else _remaining(left)).join(tested, ["u", "v"], "left_anti"))
+        if rest.isEmpty():
+            continue
+        tested = tested.unionByName(rest)
         links = checkpointed(confirmed(rest, light))
         if not links.isEmpty():
             found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
