@@ -16,8 +16,8 @@ No group is gathered in one task and no bucket is paired with itself:
    most of its buckets name, the one likest to it;
 3. links are contracted to components by alternating large and small stars;
 4. where a bucket still spans several components, a member outside its largest component is
-   checked against a drawn member of that, PROBES turns over, one pair for each document and
-   turn; links contract again. So most members of a large group need a few pairs, not all;
+   checked against DRAWS drawn members of that, PROBES turns over; links contract again. So
+   most members of a large group need a few pairs, not all;
 5. what still lies outside is checked against all members of other components. Pairs inside
    a component need no check, so no candidate pair of different components is left unchecked.
 
@@ -33,15 +33,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.llm.base import U64, checkpointed, flat, grams, lowered, mix, passes, sequence_hash, span_hashes, word_spans
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 48, 5
-#: Turns of probing one drawn member of the largest component, before the members left are checked one by one.
-PROBES = 5
+#: Turns of probing drawn members of the largest component, and how many each, before the members left are checked one by one.
+PROBES, DRAWS = 1, 12
 SPACE_BITS = 20
 #: Ids of candidate documents that may be broadcast to pick their texts; above it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -175,17 +175,20 @@ def _pairs(both: DataFrame) -> DataFrame:
 
 
 def _probes(left: DataFrame, turn: int) -> DataFrame:
-    """Each member outside its bucket's main component with one member of it: of those that its buckets name, the one they name most often.
+    """Members outside their bucket's main component, each with some of it: of those that its buckets name, the ones they name most often.
 
-    At first a bucket names its centre, later a member of the main component drawn anew each turn.
+    At first a bucket names its centre, and one partner is taken; later each names DRAWS members of its
+    main component, drawn by hashes, and as many partners are taken.
     """
     if turn:
-        drawn = left.where("c = main").groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("v")))["v"].alias("v"))
-        named = left.where("c != main").select("band", F.col("rep").alias("u")).join(drawn, "band")
+        draws = [F.min(F.struct(F.xxhash64("rep", F.lit(k)), F.col("rep").alias("v")))["v"] for k in range(DRAWS)]
+        drawn = left.where("c = main").groupBy("band").agg(F.array_distinct(F.array(*draws)).alias("v"))
+        named = left.where("c != main").select("band", F.col("rep").alias("u")).join(drawn, "band").select("u", F.explode("v").alias("v"))
     else:
         named = left.where("rep != centre").select(F.col("rep").alias("u"), F.col("centre").alias("v"))
-    often = named.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")).groupBy("u").agg(F.max(F.struct("k", (-F.col("v")).alias("w")))["w"].alias("w"))
-    return _pairs(often.select("u", (-F.col("w")).alias("v")))
+    often = named.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("u").orderBy(F.col("k").desc(), "v")  # at most BANDS * DRAWS rows
+    return _pairs(often.withColumn("n", F.row_number().over(w)).where(F.col("n") <= (DRAWS if turn else 1)))
 
 
 def _remaining(left: DataFrame) -> DataFrame:
