@@ -39,14 +39,14 @@ RULES: list[tuple[str, str, float | None, float | None]] = [
 
 def verdict(rules: list[tuple[str, str, float | None, float | None]] = RULES) -> Column:
     """True where every rule holds; false for a text without words."""
-    held = F.col("n_words") > 0
+    held = F.lit(True)
     for _, ratio, least, most in rules:
         value = F.expr(ratio)
         if least is not None:
             held = held & (value >= least)
         if most is not None:
             held = held & (value <= most)
-    return F.coalesce(held, F.lit(False))
+    return F.when(F.col("n_words") > 0, held).otherwise(False)  # no ratio is formed without words
 
 
 def measures(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
