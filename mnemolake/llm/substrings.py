@@ -4,7 +4,7 @@ A window is WINDOW (35) consecutive words `[^\\x20\\x09-\\x0D]+` of one document
 window holds a whole block of BLOCK (18) words at a multiple of 18, so a window that repeats
 has a block whose words occur, at some offset, elsewhere. The blocks are indexed by hash, all
 rolling windows of 18 words probe them. Where a block is hit, it is extended word by word to
-the windows whose first block it is, and each of those is kept if its whole word sequence (96 and more
+the windows whose first block it is, and each of those is kept if its whole word sequence (by 48 and 32
 bits of two independent hashes) starts anywhere else. Neighbouring windows run together to
 maximal repeats; each word they cover is removed, judged on the input alone.
 
