@@ -10,16 +10,21 @@ BANDS bands of ROWS coordinates: a pair of similarity s meets in one with probab
 1 - (1 - s**ROWS)**BANDS, 0.999998 at 0.75. Every link is then confirmed on the full sets:
 100 * intersection >= 75 * union.
 
-No group is gathered in one task and no bucket is paired with itself:
+No group is gathered in one task and no large bucket is paired with itself:
 1. documents of equal sets are summed to one representative (map-side combined);
-2. each bucket names its least member as centre; a document is checked against the centre that
-   most of its buckets name, the one likest to it;
-3. links are contracted to components by alternating large and small stars;
-4. where a bucket still spans several components, a member outside its largest component is
-   checked against DRAWS drawn members of that, PROBES turns over; links contract again. So
-   most members of a large group need a few pairs, not all;
-5. what still lies outside is checked against all members of other components. Pairs inside
-   a component need no check, so no candidate pair of different components is left unchecked.
+2. each bucket names as centre the member whose buckets hold the most members in all, which in a
+   group of near copies is the text that they come from; a document is checked against the
+   centre that most of its buckets name;
+3. links are contracted to components by alternating large and small stars. Pairs inside a
+   component need no check;
+4. in buckets of up to DIRECT members, what lies outside the largest component is checked
+   against all members of other components;
+5. in larger ones such a pair is checked only if it can be a link by its rarest shingles. A link
+   shares 3/7 of both sizes' sum. So with each set in one order, rarest first, the first shared
+   shingle leaves that many in either set: only prefixes are joined, on the shingle, with this
+   condition. Members with more shingles of their own than a link can spare meet nobody.
+   Any order gives the same links; ORDER_BITS slots of counts are enough to rank shingles.
+So no candidate pair of different components is left out, by a check or by a bound that rules it out.
 
 Null text counts as empty. Rows without a doc_id are linked with nothing: component_id is
 null and kept true. Rows with one doc_id and different texts are all linked through that id.
@@ -33,15 +38,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.llm.base import U64, checkpointed, flat, grams, lowered, mix, passes, sequence_hash, span_hashes, word_spans
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 48, 5
-#: Turns of probing drawn members of the largest component, and how many each, before the members left are checked one by one.
-PROBES, DRAWS = 1, 12
+#: Members of a bucket up to which its pairs are checked without the bound on prefixes.
+DIRECT = 16
+#: Slots (as a power of two) of the table of counts that ranks shingles; its size is fixed.
+ORDER_BITS = 18
 SPACE_BITS = 20
 #: Ids of candidate documents that may be broadcast to pick their texts; above it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -161,61 +168,110 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task fall in each slot."""
+    count = np.zeros(1 << ORDER_BITS, np.int64)
+    for batch in batches:
+        for own in sets(batch.column(1)):
+            np.add.at(count, (own >> U64(64 - ORDER_BITS)).astype(np.int64), 1)
+    at = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at], pa.int64())], ["slot", "k"])
+
+
+def prefix_length(n: int, least: int) -> int:
+    """How many of a set's n shingles, rarest first, hold one that it shares with each set linked to it, none of which is below `least`."""
+    return n + 1 + (-3 * (n + max(least, -(-3 * n // 4)))) // 7
+
+
+def _prefixes(counts):  # noqa: ANN001, ANN202
+    """A mapper of (doc_id, text, c, outside, least) to rows for the rarest shingles of each set, with their place in it."""
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = counts.value
+        for batch in batches:
+            shingle, size, place, row = [], [], [], []
+            for i, (own, least) in enumerate(zip(sets(batch.column(1)), batch.column(4).to_pylist(), strict=True)):
+                n = len(own)
+                k = prefix_length(n, least)
+                # own is sorted by hash, so a stable sort by count breaks ties alike in all sets
+                shingle.append(own[np.argsort(rank[(own >> U64(64 - ORDER_BITS)).astype(np.int64)], kind="stable")[:k]])
+                size.append(np.full(len(shingle[-1]), n))
+                place.append(np.arange(len(shingle[-1])))
+                row.append(np.full(len(shingle[-1]), i))
+            at = pa.array(np.concatenate([*row, np.zeros(0, np.int64)]).astype(np.int64))
+            numbers = [pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in (size, place)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([*shingle, np.zeros(0, U64)]).view(np.int64)), batch.column(0).take(at), batch.column(2).take(at), batch.column(3).take(at), *numbers],
+                ["shingle", "rep", "c", "outside", "n", "place"],
+            )
+
+    return mapper
+
+
+def _centred(shared: DataFrame) -> DataFrame:
+    """Each representative with the centre that most of its buckets name."""
+    weight = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
+    centre = shared.join(weight, "rep").groupBy("band").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least")))["least"].alias("least")).select("band", (-F.col("least")).alias("centre"))
+    often = shared.join(centre, "band").where("rep != centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("k"))
+    return _pairs(often.groupBy("rep").agg((-F.max(F.struct("k", (-F.col("centre")).alias("v")))["v"]).alias("v")).select(F.col("rep").alias("u"), "v"))
+
+
 def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (band, rep, centre, c, main) of buckets that still hold several components; main is the bucket's largest."""
+    """Members (band, rep, c, main, members, least) of buckets that still hold several components; main is the bucket's largest, least its smallest set."""
     of = F.coalesce("component", "rep")
-    placed = shared.join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", "centre", of.alias("c"))
-    sizes = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return checkpointed(placed.join(main, "band").select("band", "rep", "centre", "c", "main"))
+    placed = shared.join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", "n_shingles", "members", of.alias("c"))
+    sizes = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"), F.min("n_shingles").alias("least"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.min("least").alias("least"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return checkpointed(placed.join(main, "band").select("band", "rep", "c", "main", "members", "least"))
 
 
 def _pairs(both: DataFrame) -> DataFrame:
     return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _probes(left: DataFrame, turn: int) -> DataFrame:
-    """Members outside their bucket's main component, each with some of it: of those that its buckets name, the ones they name most often.
-
-    At first a bucket names its centre, and one partner is taken; later each names DRAWS members of its
-    main component, drawn by hashes, and as many partners are taken.
-    """
-    if turn:
-        draws = [F.min(F.struct(F.xxhash64("rep", F.lit(k)), F.col("rep").alias("v")))["v"] for k in range(DRAWS)]
-        drawn = left.where("c = main").groupBy("band").agg(F.array_distinct(F.array(*draws)).alias("v"))
-        named = left.where("c != main").select("band", F.col("rep").alias("u")).join(drawn, "band").select("u", F.explode("v").alias("v"))
-    else:
-        named = left.where("rep != centre").select(F.col("rep").alias("u"), F.col("centre").alias("v"))
-    often = named.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("u").orderBy(F.col("k").desc(), "v")  # at most BANDS * DRAWS rows
-    return _pairs(often.withColumn("n", F.row_number().over(w)).where(F.col("n") <= (DRAWS if turn else 1)))
-
-
-def _remaining(left: DataFrame) -> DataFrame:
-    """All pairs across components."""
+def _few(left: DataFrame) -> DataFrame:
+    """All pairs across components of small buckets."""
+    left = left.where(F.col("members") <= DIRECT)
     x = left.where("c != main").select("band", F.col("rep").alias("u"), F.col("c").alias("cu"))
     y = left.select("band", F.col("rep").alias("v"), F.col("c").alias("cv"), "main")
     return _pairs(x.join(y, "band").where("cu != cv AND (cv = main OR u < v)"))
 
 
+def _many(left: DataFrame, light: DataFrame) -> DataFrame | None:
+    """Pairs across components of large buckets that their rarest shingles don't rule out; None without such buckets."""
+    sc = light.sparkSession.sparkContext
+    each = left.where(F.col("members") > DIRECT).groupBy("rep").agg(F.first("c").alias("c"), F.max(F.expr("c != main")).alias("outside"), F.min("least").alias("least"))
+    texts = checkpointed(light.join(each, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "c", "outside", "least"))
+    slots = texts.mapInArrow(_slots, "slot long, k long").groupBy("slot").agg(F.sum("k").alias("k")).collect()  # at most 2 ** ORDER_BITS rows
+    if not slots:
+        return None
+    rank = np.zeros(1 << ORDER_BITS, np.int64)
+    rank[[x.slot for x in slots]] = [x.k for x in slots]
+    rows = checkpointed(texts.mapInArrow(_prefixes(sc.broadcast(rank)), "shingle long, rep long, c long, outside boolean, n long, place long"))
+    x = rows.where("outside").select("shingle", F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("place").alias("pu"))
+    y = rows.select("shingle", F.col("rep").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("place").alias("pv"), F.col("outside").alias("both"))
+    return _pairs(x.join(y, "shingle").where("cu != cv AND (NOT both OR u < v) AND 7 * (nu - pu) >= 3 * (nu + nv) AND 7 * (nv - pv) >= 3 * (nu + nv)"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_shingles, component_id and kept."""
     light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = checkpointed(light.mapInArrow(_signed, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    one = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    one = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     # documents of equal sets share their bands, so any of them will do
-    member = one.select("rep", F.explode("bands").alias("band"))
-    centre = member.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("other"), F.count(F.lit(1)).alias("n")).where("centre != other")
-    shared = checkpointed(member.join(centre, "band").select("band", "rep", "centre", "n"))
+    member = one.select("rep", "n_shingles", F.explode("bands").alias("band"))
+    sizes = member.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = checkpointed(member.join(sizes, "band").select("band", "rep", "n_shingles", "members"))
     found = light.sparkSession.createDataFrame([], "node long, component long")
-    tested = light.sparkSession.createDataFrame([], "u long, v long")
-    for turn in range(PROBES + 2):
-        left = _open(shared, found) if turn else shared.select("band", "rep", "centre", F.col("rep").alias("c"), F.col("centre").alias("main"))
-        rest = checkpointed((_probes(left, turn) if turn <= PROBES else _remaining(left)).join(tested, ["u", "v"], "left_anti"))
-        if rest.isEmpty():
-            continue
-        tested = tested.unionByName(rest)
+    tested = checkpointed(_centred(shared))
+    links = checkpointed(confirmed(tested, light))
+    if not links.isEmpty():
+        found = components(links)
+    left = _open(shared, found)
+    if not left.isEmpty():
+        rest, many = _few(left), _many(left, light)
+        rest = checkpointed((rest.union(many).distinct() if many is not None else rest).join(tested, ["u", "v"], "left_anti"))
         links = checkpointed(confirmed(rest, light))
         if not links.isEmpty():
             found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
