@@ -50,7 +50,7 @@ DIRECT = 16
 #: Slots (as a power of two) of the table of counts that ranks shingles; its size is fixed.
 ORDER_BITS = 18
 SPACE_BITS = 20
-#: Ids of candidate documents that may be broadcast to pick their texts; above it they are joined by shuffle.
+#: Rows (of up to five numbers) for candidate documents that may be broadcast to pick their texts; above it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 _tables: list[np.ndarray] = []
@@ -241,6 +241,9 @@ def _many(left: DataFrame, light: DataFrame) -> DataFrame | None:
     """Pairs across components of large buckets that their rarest shingles don't rule out; None without such buckets."""
     sc = light.sparkSession.sparkContext
     each = left.where(F.col("members") > DIRECT).groupBy("rep").agg(F.first("c").alias("c"), F.max(F.expr("c != main")).alias("outside"), F.min("least").alias("least"))
+    each = checkpointed(each)
+    if each.count() <= BROADCAST_IDS:
+        each = F.broadcast(each)
     texts = checkpointed(light.join(each, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "c", "outside", "least"))
     slots = texts.mapInArrow(_slots, "slot long, k long").groupBy("slot").agg(F.sum("k").alias("k")).collect()  # at most 2 ** ORDER_BITS rows
     if not slots:

@@ -66,6 +66,43 @@ def test_minhash_components(docs, empty):
     assert left.columns == docs.columns and left.count() == sum(find(i) == i for i in own)
 
 
+def test_minhash_large_buckets_lose_no_link(spark, monkeypatch):
+    """Edits of one text, links at and below the threshold; DIRECT 1 sends all buckets through the bound on prefixes."""
+    from mnemolake.llm import minhash
+
+    draw = random.Random(11)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(70):
+        words = list(base[: draw.choice((100, 100, 96, 90))])
+        for k in range(draw.randint(0, 7)):
+            words[draw.randrange(len(words))] = draw.choice((f"own{i}x{k}", f"both{k}"))
+        rows.append((i, " ".join(words)))
+    own = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                if 100 * len(own[i] & own[j]) >= 75 * len(own[i] | own[j]) and root[i] != root[j]:
+                    root[i] = root[j] = min(root[i], root[j])
+                    changed = True
+    assert len(set(root)) > 3
+    for most in (1, 16, 1000):
+        monkeypatch.setattr(minhash, "DIRECT", most)
+        got = {r.doc_id: r.component_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == dict(enumerate(root))
+
+
+def test_minhash_prefix_holds_a_shared_shingle():
+    from mnemolake.llm import minhash
+
+    for n in range(1, 60):
+        for least in range(1, n + 10):
+            shares = min(-(-3 * (n + m) // 7) for m in range(max(least, -(-3 * n // 4)), n + 40))
+            assert minhash.prefix_length(n, least) == n - shares + 1
+
+
 def test_minhash_rows_without_id_and_double_ids(spark):
     from mnemolake.llm import minhash
 
