@@ -111,4 +111,6 @@ def kept_documents(docs: DataFrame, text_col: str = "text", rules: list[tuple[st
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(text_col).alias("__t"))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return measures(row, "__t", ["__row"]).where(~base & verdict(rules)).select(*[F.col("__row")[c].alias(c) for c in names])
+    # a filter would be pushed below the measures, each then worked out wherever it is named; it stays above a column that is not deterministic
+    marked = measures(row, "__t", ["__row"]).select("__row", (~base & verdict(rules)).alias("__kept"), F.monotonically_increasing_id().alias("__mark"))
+    return marked.where("__kept AND __mark >= 0").select(*[F.col("__row")[c].alias(c) for c in names])
