@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that a numpy pass holds at once; a longer document is a pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
