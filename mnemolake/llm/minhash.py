@@ -22,7 +22,8 @@ No group is gathered in one task and no large bucket is paired with itself:
 5. in larger ones such a pair is checked only if it can be a link by its rarest shingles. A link
    shares 3/7 of both sizes' sum. So with each set in one order, rarest first, the first shared
    shingle leaves that many in either set: only prefixes are joined, on the shingle, with this
-   condition. Members with more shingles of their own than a link can spare meet nobody.
+   condition, and what each set's marks show that the other lacks is taken off too.
+   Members with more shingles of their own than a link can spare meet nobody.
    Any order gives the same links; ORDER_BITS slots of counts are enough to rank shingles.
 So no candidate pair of different components is left out, by a check or by a bound that rules it out.
 
@@ -49,6 +50,9 @@ BANDS, ROWS = 48, 5
 DIRECT = 16
 #: Slots (as a power of two) of the table of counts that ranks shingles; its size is fixed.
 ORDER_BITS = 18
+#: Words of 64 bits in which a set marks its shingles: a mark that another set lacks is a shingle that it lacks.
+MARKS = 8
+_MARKED = [f"m{k}" for k in range(MARKS)]
 SPACE_BITS = 20
 #: Rows (of up to five numbers) for candidate documents that may be broadcast to pick their texts; above it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -189,7 +193,7 @@ def _prefixes(counts):  # noqa: ANN001, ANN202
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = counts.value
         for batch in batches:
-            shingle, size, place, row = [], [], [], []
+            shingle, size, place, row, marks = [], [], [], [], []
             for i, (own, least) in enumerate(zip(sets(batch.column(1)), batch.column(4).to_pylist(), strict=True)):
                 n = len(own)
                 k = prefix_length(n, least)
@@ -198,11 +202,14 @@ def _prefixes(counts):  # noqa: ANN001, ANN202
                 size.append(np.full(len(shingle[-1]), n))
                 place.append(np.arange(len(shingle[-1])))
                 row.append(np.full(len(shingle[-1]), i))
+                bits = np.zeros(64 * MARKS, np.uint8)
+                bits[(own % U64(64 * MARKS)).astype(np.int64)] = 1
+                marks.append(np.packbits(bits).view(np.int64))
             at = pa.array(np.concatenate([*row, np.zeros(0, np.int64)]).astype(np.int64))
             numbers = [pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in (size, place)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*shingle, np.zeros(0, U64)]).view(np.int64)), batch.column(0).take(at), batch.column(2).take(at), batch.column(3).take(at), *numbers],
-                ["shingle", "rep", "c", "outside", "n", "place"],
+                [pa.array(np.concatenate([*shingle, np.zeros(0, U64)]).view(np.int64)), batch.column(0).take(at), batch.column(2).take(at), batch.column(3).take(at), *numbers, *[pa.array([x[k] for x in marks], pa.int64()).take(at) for k in range(MARKS)]],
+                ["shingle", "rep", "c", "outside", "n", "place", *_MARKED],
             )
 
     return mapper
@@ -250,10 +257,12 @@ def _many(left: DataFrame, light: DataFrame) -> DataFrame | None:
         return None
     rank = np.zeros(1 << ORDER_BITS, np.int64)
     rank[[x.slot for x in slots]] = [x.k for x in slots]
-    rows = checkpointed(texts.mapInArrow(_prefixes(sc.broadcast(rank)), "shingle long, rep long, c long, outside boolean, n long, place long"))
-    x = rows.where("outside").select("shingle", F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("place").alias("pu"))
-    y = rows.select("shingle", F.col("rep").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("place").alias("pv"), F.col("outside").alias("both"))
-    return _pairs(x.join(y, "shingle").where("cu != cv AND (NOT both OR u < v) AND 7 * (nu - pu) >= 3 * (nu + nv) AND 7 * (nv - pv) >= 3 * (nu + nv)"))
+    rows = checkpointed(texts.mapInArrow(_prefixes(sc.broadcast(rank)), "shingle long, rep long, c long, outside boolean, n long, place long, " + ", ".join(f"{m} long" for m in _MARKED)))
+    x = rows.where("outside").select("shingle", F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("place").alias("pu"), *[F.col(m).alias(f"u{m}") for m in _MARKED])
+    y = rows.select("shingle", F.col("rep").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("place").alias("pv"), F.col("outside").alias("both"), *[F.col(m).alias(f"v{m}") for m in _MARKED])
+    lacks = lambda a, b: " + ".join(f"bit_count({a}{m} & ~{b}{m})" for m in _MARKED)
+    spare = f"7 * (nu - ({lacks('u', 'v')})) >= 3 * (nu + nv) AND 7 * (nv - ({lacks('v', 'u')})) >= 3 * (nu + nv)"
+    return _pairs(x.join(y, "shingle").where(f"cu != cv AND (NOT both OR u < v) AND 7 * (nu - pu) >= 3 * (nu + nv) AND 7 * (nv - pv) >= 3 * (nu + nv) AND {spare}"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
