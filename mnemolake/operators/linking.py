@@ -16,9 +16,14 @@ from mnemolake.operators import memory, vectors
 STRING_LEAST = 0.3
 
 
+def duplicate_pairs(candidates: DataFrame, nodes: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """(query, node, sim): every pair at the duplicate threshold or above, a row's pair with itself too if it is on both sides."""
+    return vectors.similar(candidates, nodes, "query", "id", "embedding", s.dedup_threshold)
+
+
 def near_duplicates(candidates: DataFrame, nodes: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """(query, node, sim): each candidate's nearest node, of any status, at the duplicate threshold or above."""
-    return vectors.nearest(vectors.similar(candidates, nodes, "query", "id", "embedding", s.dedup_threshold))
+    return vectors.nearest(duplicate_pairs(candidates, nodes, s))
 
 
 @F.pandas_udf(DoubleType())

@@ -306,9 +306,8 @@ def _nearest(t):  # noqa: ANN001, ANN202
 
 @query("near_duplicates", f"SELECT query, node FROM ({_SIM}) WHERE sim >= 0.92")
 def _near_duplicates(t):  # noqa: ANN001, ANN202
-    e = t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
-    n = t("embeddings").where("vec_id % 20 != 0").select(F.col("vec_id").alias("id"), "embedding")
-    return linking.near_duplicates(e, n).select("query", "node")
+    n = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return linking.duplicate_pairs(n.where("id % 20 = 0").withColumnRenamed("id", "query"), n).where("query != node").select("query", "node")
 
 
 @query("cosine_native", "SELECT a.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS sim, round(sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 5) AS length FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
