@@ -21,7 +21,7 @@ def vocabulary() -> str:
 
 def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = toxicity.fitted(*toxicity.sampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = toxicity.calibrated(*toxicity.sampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity.scored(docs, model)
 
 

@@ -4,7 +4,10 @@ One weight vector is shared by all ordered thresholds: P(grade >= k) = sigmoid(w
 with theta_1 <= theta_2 <= ..., where x is the set of a text's words (runs of letters and
 digits, A-Z lower-cased), hashed to 2**BITS places. Grades are 0 (not
 toxic), 1 (toxic, else of good quality) and 2 (toxic and of bad quality). The expected severity
-is the sum of P(grade >= k).
+is the sum of P(grade >= k). Weights and theta_1 are fitted to the toxic label alone, and the later
+thresholds to the margins that come of it: a toxic text of good quality is no evidence against
+its words. The cut of p_toxic from which a text counts as toxic is the one of best F1 over labelled
+rows, each scored by a model that was fitted without its fold.
 
 Fitting takes a bounded sample of labelled rows (SAMPLE, those of the smallest hashed ids), so
 the driver holds at most SAMPLE feature lists; scoring covers every document and ships only
@@ -15,8 +18,9 @@ grade that the thresholds alone give. Rows are scored each for itself, repeated
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from mnemolake.llm.base import U64, flat, lowered, passes, span_hashes
 
 BITS, SAMPLE, GRADES, EVIDENCE = 18, 20_000, 3, 12.0
+FOLDS = 5
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -34,6 +39,7 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 class Model:
     weights: np.ndarray  # float32, 2**bits
     thresholds: np.ndarray  # float64, ascending, one for each grade above 0
+    cut: float = 0.5  # least p_toxic of a toxic text
 
     def at_least(self, margins: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ...: a column each."""
@@ -71,7 +77,7 @@ def telling(place: np.ndarray, positive: np.ndarray, toxic: int, texts: int, siz
 
 
 def fitted(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, grades_n: int = GRADES, penalty: float = 5e-4, rounds: int = 200, rate: float = 0.2) -> Model:
-    """Full-batch Adam on the ordinal likelihood, the rarer grades weighted up. Features without EVIDENCE stay at 0, so the weights are sparse."""
+    """Full-batch Adam, the weights and the first threshold on P(grade >= 1), each later one on its own likelihood; the rarer grades weighted up. Features without EVIDENCE stay at 0, so the weights are sparse."""
     counts = np.array([len(x) for x in rows])
     place = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), counts)
@@ -89,9 +95,9 @@ def fitted(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, grades_
         margin = np.bincount(row, w[place], len(rows))
         p = 1 / (1 + np.exp(np.clip(theta[None, :] - margin[:, None], -40, 40)))
         slack = (p - above) * weight[:, None]
-        gw = np.bincount(place, slack.sum(1)[row], len(names)) + penalty * w
+        gw = np.bincount(place, slack[:, 0][row], len(names)) + penalty * w
         gt = -slack.sum(0)
-        gg = np.r_[gt.sum(), [gt[k:].sum() * np.exp(gaps[k]) for k in range(1, len(gaps))]]
+        gg = np.r_[gt[0], [gt[k:].sum() * np.exp(gaps[k]) for k in range(1, len(gaps))]]
         for x, g, a, b in ((w, gw, 0, 1), (gaps, gg, 2, 3)):
             state[a] = 0.9 * state[a] + 0.1 * g
             state[b] = 0.99 * state[b] + 0.01 * g * g
@@ -101,6 +107,28 @@ def fitted(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, grades_
     return Model(full, np.cumsum(np.r_[gaps[0], np.exp(gaps[1:])]))
 
 
+def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The cut of highest F1, halfway to the next lower p; 1/2 where one label is missing."""
+    if not toxic.any() or toxic.all():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, hits = p[order], np.cumsum(toxic[order])
+    last = np.flatnonzero(np.r_[p[:-1] > p[1:], True])
+    best = last[(2 * hits[last] / (last + 1 + hits[-1])).argmax()]
+    return float((p[best] + (p[best + 1] if best + 1 < len(p) else 0)) / 2)
+
+
+def calibrated(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, folds: int = FOLDS) -> Model:
+    """The model of all rows, with the cut taken from rows held out fold by fold; rows of the same words share a fold."""
+    fold = np.array([zlib.crc32(x.astype(np.int32).tobytes()) % folds for x in rows], int)
+    p = np.zeros(len(rows))
+    for k in range(folds):
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        part = fitted([rows[i] for i in rest], grades[rest], bits)
+        p[own] = part.at_least(np.array([part.weights[rows[i]].sum(dtype=float) for i in own]))[:, 0]
+    return replace(fitted(rows, grades, bits), cut=best_cut(p, grades > 0))
+
+
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and grades of at most `sample` labelled rows."""
     toxic = F.col("toxic") > 0
@@ -120,14 +148,15 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id, p_toxic, p_severe, expected_severity, grade (the likeliest) and toxic (p_toxic >= 1/2)."""
+    """One row for each document: id, p_toxic, p_severe, expected_severity, grade (0 if not toxic, else the likeliest above) and toxic (p_toxic >= the model's cut)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = flat(batch.column(1))
             m = np.concatenate([margins(model, data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in passes(at)] or [np.zeros(0)])
             p = model.at_least(m)
-            grade = (np.concatenate([np.ones((len(p), 1)), p], 1) - np.concatenate([p, np.zeros((len(p), 1))], 1)).argmax(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p[:, 0]), pa.array(p[:, -1]), pa.array(p.sum(1)), pa.array(grade.astype(np.int32)), pa.array(p[:, 0] >= 0.5)], [id_col, "p_toxic", "p_severe", "expected_severity", "grade", "toxic"])
+            toxic = p[:, 0] >= model.cut
+            grade = np.where(toxic, 1 + (p - np.concatenate([p[:, 1:], np.zeros((len(p), 1))], 1)).argmax(1), 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p[:, 0]), pa.array(p[:, -1]), pa.array(p.sum(1)), pa.array(grade.astype(np.int32)), pa.array(toxic)], [id_col, "p_toxic", "p_severe", "expected_severity", "grade", "toxic"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, p_toxic double, p_severe double, expected_severity double, grade int, toxic boolean")

@@ -298,3 +298,28 @@ def test_pipeline_equals_its_operators_by_hand(spark, docs, tmp_path):
     by = pii.redacted_documents(minhash.deduplicated(lines.deduplicated(quality.kept_documents(docs.drop("drop")))))
     assert got == sorted((r.bin_id is None, r.doc_id, r.piece, r.n_words) for r in packing.packed(by).collect()) != []
     assert len(c.STAGES) == 5 and all(f(spark, docs, "").columns == docs.columns for _, f in c.STAGES[:-1])
+
+
+def test_toxicity_does_not_hold_good_quality_against_toxic_words(spark):
+    from mnemolake.llm import toxicity as t
+
+    draw = random.Random(8)
+    bad, fine = [f"bad{k}" for k in range(20)], [f"w{k}" for k in range(300)]
+    toxic = [draw.random() < 0.12 for _ in range(2400)]
+    rows = [(i, " ".join([draw.choice(fine) for _ in range(60)] + draw.sample(bad, draw.randint(1, 8)) * x)) for i, x in enumerate(toxic)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(draw.random() < 0.85), int(x)) for i, x in enumerate(toxic[:1800])], "doc_id long, quality int, toxic int")
+    sample, held = t.sampled(df, labels), range(1800, 2400)
+    got = {r.doc_id: r.toxic for r in t.scored(df, t.fitted(*sample)).collect()}
+    assert np.mean([got[i] for i in held if toxic[i]]) > 0.93 and not any(got[i] for i in held if not toxic[i])
+    model = t.calibrated(*sample)
+    cut = {r.doc_id: r for r in t.scored(df, model).collect()}
+    assert 0 < model.cut < 0.5 and np.mean([cut[i].toxic for i in held if toxic[i]]) > 0.98
+    assert sum(cut[i].toxic for i in held if not toxic[i]) < 5 and all(r.toxic == (r.grade > 0) == (r.p_toxic >= model.cut) for r in cut.values())
+
+
+def test_toxicity_cut_is_of_best_f1():
+    from mnemolake.llm import toxicity as t
+
+    assert t.best_cut(np.array([0.9, 0.4, 0.3, 0.3, 0.1]), np.array([True, True, False, False, False])) == pytest.approx(0.35)
+    assert t.best_cut(np.array([0.9, 0.2]), np.array([False, False])) == 0.5
