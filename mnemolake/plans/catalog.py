@@ -19,7 +19,7 @@ from mnemolake.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "hybrid_ranking"
+FLAGSHIP = "hybrid_ranking_full"
 NOW = "2024-07-01 00:00:00"
 
 STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -367,6 +367,32 @@ def _hybrid(t):  # noqa: ANN001, ANN202
     return retrieval.graph(nodes, edges, asked, now, include_history=True, semantic=False).select("query", "node_id", r6("score").alias("score"), "ordinal")
 
 
+@query(
+    "hybrid_ranking_full",
+    f"""WITH {_SCORED}, b AS (SELECT item_id, max(score) AS best FROM rk WHERE rank <= 50 GROUP BY item_id),
+    lx AS (SELECT item_id, doc, score / best AS lex FROM rk JOIN b USING (item_id) WHERE rank <= 50 AND score / best >= 0.5),
+    v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    sm AS (SELECT item_id, y.vec_id AS doc, list_cosine_similarity(x.v, y.v) AS sem FROM benchmark JOIN v x ON x.vec_id = item_id CROSS JOIN v y),
+    a AS (SELECT item_id, doc FROM lx UNION SELECT item_id, doc FROM sm JOIN documents ON doc_id = doc WHERE sem >= 0.3),
+    e AS (SELECT lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS x, doc_id AS y FROM documents QUALIFY x IS NOT NULL),
+    u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+    h AS (SELECT DISTINCT item_id, y AS doc FROM a JOIN u ON x = doc), g AS (SELECT *, 0.0 AS assoc FROM a UNION ALL SELECT *, 0.6 FROM h ANTI JOIN a USING (item_id, doc)),
+    p AS (SELECT {_P90} AS p90 FROM (SELECT doc_id % 20 + 1 AS c FROM documents)),
+    f AS (SELECT g.item_id, g.doc, coalesce(lex, 0) AS lex, coalesce(sem, 0) AS sem, assoc, (g.doc % 10) / 10.0 AS conf, CASE WHEN g.doc % 4 = 0 THEN 0.0 ELSE 1.0 END AS bonus, least((g.doc % 20 + 1) / p90, 1.0) * 0.6 + 0.4 AS st
+      FROM g LEFT JOIN lx USING (item_id, doc) LEFT JOIN sm USING (item_id, doc) CROSS JOIN p),
+    s AS (SELECT item_id, doc, {_BLEND} AS score FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc) AS rank FROM s)
+    SELECT item_id AS query, doc AS node_id, round(score, 6) AS score, rank::BIGINT AS ordinal FROM r WHERE rank <= 10""",
+)
+def _hybrid_full(t):  # noqa: ANN001, ANN202
+    """Lexical and cosine anchors with one hop, with history. Document and question i have vector i, if there is one; edges chain the documents of a source."""
+    now, e = F.lit(NOW).cast("timestamp"), t("embeddings").select("vec_id", "embedding")
+    vector = lambda rows, key: rows.join(e, F.col(key) == F.col("vec_id"), "left").withColumn("embedding", F.coalesce("embedding", F.array().cast("array<float>")))
+    nodes = vector(t("documents"), "doc_id").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "embedding", (F.col("doc_id") % 20 + 1).alias("access_count"), now.alias("last_accessed"), now.alias("created_at"), F.when(F.col("doc_id") % 4 == 0, "superseded").otherwise("active").alias("status"), (F.col("doc_id") % 10 / 10.0).alias("confidence"), F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+    asked = vector(t("benchmark"), "item_id").select(F.col("item_id").alias("query"), "text", "embedding")
+    edges = memory.chained(t("documents"), ["source"], ["doc_id"], "doc_id")
+    return retrieval.graph(nodes, edges, asked, now, include_history=True).select("query", "node_id", r6("score").alias("score"), "ordinal")
+
+
 @query("merged_results", "WITH x AS (SELECT o_custkey AS query, left(o_orderpriority, 200) AS p, o_orderkey, round(o_totalprice, 2) AS score, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS src FROM orders), y AS (SELECT *, row_number() OVER (PARTITION BY query, p ORDER BY score DESC, src, o_orderkey) AS n FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, src, o_orderkey) AS rank FROM y WHERE n = 1) SELECT query, p AS content, score, rank::INT AS rank FROM z WHERE rank <= 3")
 def _merged(t):  # noqa: ANN001, ANN202
     o = t("orders")
