@@ -125,6 +125,26 @@ def _pattern_samples(t):  # noqa: ANN001, ANN202
     return d.select("id", F.explode(text.matches(F.col("content"))).alias("m")).select("id", "m.type", "m.content")
 
 
+#: Every sentence of the documents, by doc_id * 1,000,000 + position, and the literals as -1, -2, ...
+_SAYINGS = rf"sayings AS (SELECT doc_id * 1000000 + unnest(range(len(parts))) AS id, unnest(parts) AS content FROM (SELECT doc_id, string_split_regex(text, '[.!?\n]+') AS parts FROM documents) UNION ALL SELECT -1 - id, content FROM {_VALUES})"
+
+
+def _sayings(t, literals: list[str] = SAMPLES) -> DataFrame:  # noqa: ANN001
+    d = t("documents").select("doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("at", "content")).select((F.col("doc_id") * 1000000 + F.col("at")).alias("id"), "content")
+    return d.unionByName(d.sparkSession.createDataFrame([(-1 - i, x) for i, x in enumerate(literals)], "id long, content string"))
+
+
+@query("canonical_keys_full", ORACLE["canonical_keys"].replace(_VALUES, "sayings").replace("WITH ", f"WITH {_SAYINGS}, ", 1))
+def _canonical_full(t):  # noqa: ANN001, ANN202
+    k = _sayings(t).select("id", text.statement_key(F.col("content")).alias("statement"), text.canonical_key(F.col("content")).alias("slot"))
+    return k.withColumn("family", text.key_family(F.col("slot")))
+
+
+@query("pattern_samples_full", f"WITH {_SAYINGS} " + ORACLE["pattern_samples"].replace(_VALUES, "sayings"))
+def _pattern_samples_full(t):  # noqa: ANN001, ANN202
+    return _sayings(t).select("id", F.explode(text.matches(F.col("content"))).alias("m")).select("id", "m.type", "m.content")
+
+
 @query("buffer_roles", f"SELECT conv_id::VARCHAR AS session_id, type, count(*)::BIGINT AS n FROM ({_FOUND}) WHERE content IS NOT NULL AND {_ROLE} IN ('user', 'tool_result') GROUP BY ALL")
 def _buffer_roles(t):  # noqa: ANN001, ANN202
     return memory.extracted(messages(t), ("user", "tool_result")).groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("n"))
@@ -446,6 +466,21 @@ def _tombstones(t):  # noqa: ANN001, ANN202
     return t("documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("node_id"), F.sha2(text.folded(F.col("text")), 256).alias("content_hash"))
 
 
+@query(
+    "tombstones_full",
+    f"""WITH e AS (SELECT lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS a, doc_id AS b FROM documents QUALIFY a IS NOT NULL),
+    n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY id)
+    SELECT sha256(doc_id || '|{NOW}') AS tombstone_id, doc_id AS node_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS content_hash, coalesce(n, 0)::BIGINT AS edges_removed FROM documents LEFT JOIN n ON id = doc_id""",
+)
+def _tombstones_full(t):  # noqa: ANN001, ANN202
+    """Every document, by deletion.tombstones, with the edges that chain the documents of a source."""
+    from mnemolake.operators.deletion import tombstones
+
+    d = t("documents")
+    gone = d.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.array("source").alias("source_sessions"))
+    return tombstones(gone, memory.chained(d, ["source"], ["doc_id"], "doc_id"), F.lit(NOW).cast("timestamp")).select("tombstone_id", "node_id", "content_hash", F.col("edges_removed").cast("long").alias("edges_removed"))
+
+
 @query("upserted_rows", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 10 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 7 <> 1")
 def _upserted(t):  # noqa: ANN001, ANN202
     s = t("supplier").select("s_suppkey", "s_name", "s_acctbal")
@@ -463,6 +498,12 @@ def _validity(t):  # noqa: ANN001, ANN202
     return d.select("id", dates.validity(F.col("said"), F.col("dates")).alias("w")).select("id", F.col("w.valid_from").cast("string").alias("valid_from"), F.col("w.valid_to").cast("string").alias("valid_to"))
 
 
+@query("validity_windows_full", None)
+def _validity_full(t):  # noqa: ANN001, ANN202
+    d = _sayings(t, DATED).withColumn("dates", dates.mentions(F.col("content"), F.lit(NOW).cast("timestamp")))
+    return d.select("id", dates.validity(F.col("content"), F.col("dates")).alias("w")).select("id", F.col("w.valid_from").cast("string").alias("valid_from"), F.col("w.valid_to").cast("string").alias("valid_to"))
+
+
 @query("parsed_timestamps", "SELECT event_id, ts AS at FROM events")
 def _timestamps(t):  # noqa: ANN001, ANN202
     return t("events").select("event_id", dates.timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).cast("timestamp_ntz").alias("at"))
