@@ -12,26 +12,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Bytes of a range up to which its hash is a polynomial mod 2**64; that has known collisions, none of them shorter than some hundred letters.
+SHORT_RANGE = 32
 #: Bytes of text that a numpy pass holds at once; a longer document is a pass of its own.
 PASS_BYTES = 1 << 18
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests)."""
+    """An eager checkpoint in the folder that spark.checkpoint.dir names; where it is unset, a temporary one in local mode only."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return df.checkpoint(eager=True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores until no column bears it (Spark's names ignore case)."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Keys a shuffle partition, on average, that a join may set aside as hot.
+HOT_KEYS = 4
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, scatter: str) -> DataFrame:
+    """rows left-joined with the checkpointed table, which has one row for each key and in `weight` how many of the rows bear it.
+
+    Keys that bear more than their share of one task are broadcast: since the weights' sum is fixed, there
+    are fewer than HOT_KEYS a partition of them, at any size. Their rows are then dealt by a hash of the column
+    `scatter` instead of the key, so that no task gets all of them. The other keys are joined by shuffle.
+    """
+    most = HOT_KEYS * partitions(rows.sparkSession)
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    more = [c for c in table.columns if c not in keys]
+    hot, cold = (table.where(f"{weight} {sign} {max(total / most, 2)}") for sign in (">", "<="))
+    hot = hot.select(*[F.col(k).alias(f"hot_{k}") for k in keys], *[F.col(c).alias(f"hot_{c}") for c in more])
+    cold = cold.select(*[F.col(k).alias(f"cold_{k}") for k in keys], *[F.col(c).alias(f"cold_{c}") for c in more])
+    is_hot = F.col(f"hot_{weight}").isNotNull()
+    marked = rows.join(F.broadcast(hot), F.expr(" AND ".join(f"{k} = hot_{k}" for k in keys)), "left")
+    dealt = marked.select(*rows.columns, *[f"hot_{c}" for c in more], *[F.when(is_hot, F.xxhash64(F.lit(i), F.col(scatter))).otherwise(F.col(k)).alias(f"dealt_{k}") for i, k in enumerate(keys)])
+    both = dealt.join(cold, F.expr(" AND ".join([*(f"dealt_{k} = cold_{k}" for k in keys), f"hot_{weight} IS NULL"])), "left")
+    return both.select(*rows.columns, *[F.coalesce(f"hot_{c}", f"cold_{c}").alias(c) for c in more])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -105,13 +143,18 @@ def _spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) ->
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte range; the two lanes are independent."""
+    """A 64-bit hash of each byte range; the two lanes differ in tables and base. Ranges beyond SHORT_RANGE bytes are hashed by xxh3."""
     with np.errstate(over="ignore"):
-        return mix(_spans(_prefix(_TABLES[lane][data], _BASES[lane]), start, end, _BASES[lane]) + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+        out = mix(_spans(_prefix(_TABLES[lane][data], _BASES[lane]), start, end, _BASES[lane]) + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+    far = np.flatnonzero(end - start > SHORT_RANGE)
+    if len(far):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[far] = [xxhash.xxh3_64_intdigest(raw[a:b], lane) for a, b in zip(start[far].tolist(), end[far].tolist(), strict=True)]
+    return out
 
 
 def byte_windows(data: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each `width` bytes; one for each start that leaves room."""
+    """A 64-bit hash of each `width` bytes, a few dozen at most; one for each start that leaves room."""
     n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
@@ -120,7 +163,7 @@ def byte_windows(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def sequence_windows(words: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash of each `width` consecutive word hashes."""
+    """A 64-bit hash of each `width` consecutive word hashes, a few dozen at most; it proposes, and the words decide."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
@@ -129,9 +172,8 @@ def sequence_windows(words: np.ndarray, width: int, lane: int = 0) -> np.ndarray
 
 
 def sequence_hash(words: np.ndarray) -> np.ndarray:
-    """One hash of a whole sequence, its length included."""
-    with np.errstate(over="ignore"):
-        return mix(np.array([np.sum(words * powers(_SEQ_BASES[0], len(words)), dtype=U64) + U64(len(words))], U64))
+    """One hash of a whole sequence of any length."""
+    return np.array([xxhash.xxh3_64_intdigest(np.ascontiguousarray(words).tobytes())], U64)
 
 
 def grams(words: np.ndarray, width: int) -> np.ndarray:
@@ -175,6 +217,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(start, offsets)
 
 
+def plain_words(text: bytes) -> list[bytes]:
+    """The words `[^\\x20\\x09-\\x0D]+` of a text: bytes are split at just these six."""
+    return text.split()
+
+
 # --- payloads ----------------------------------------------------------------------------
 
 
