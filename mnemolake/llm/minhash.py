@@ -1,14 +1,18 @@
 """Near-dedup by circulant MinHash: two permutations, one shifted circularly, give every signature coordinate; banding; exact Jaccard.
 
 A document's set holds its distinct five-word shingles (words `[^\\x20\\x09-\\x0D]+`, A-Z
-lower-cased), as 64-bit hashes; with fewer words the whole sequence is the one shingle; without
+lower-cased); with fewer words the whole sequence is the one shingle; without
 words the set is empty and linked with nothing. Coordinate k of a signature is the least
-pi((sigma(x) + k) mod D) over the set: sigma breaks up structure once, pi is read at K
-neighbouring places, so one row lookup of K numbers serves all coordinates.
+pi(sigma(x) shifted circularly by k) over the set. The domain has 2**52 points (i, h), i of SPACE_BITS
+and h of 32 bits: sigma deals a shingle's 64-bit hash to a point, the shift adds k to i mod 2**SPACE_BITS,
+and pi(i, h) = (P[i] ^ h, i), a permutation since i and P[i] ^ h give back h. So one row of K neighbours
+in the table P, with h added to it, serves all coordinates, and since 32 bits of the least point are
+compared, sets of millions of shingles do not meet by chance.
 
 BANDS bands of ROWS coordinates: a pair of similarity s meets in one with probability
-1 - (1 - s**ROWS)**BANDS, 0.999998 at 0.75. Every link is then confirmed on the full sets:
-100 * intersection >= 75 * union.
+1 - (1 - s**ROWS)**BANDS, 0.999998 at 0.75. Every link between different sets is then confirmed on the
+full sets of words, not of hashes: 100 * intersection >= 75 * union. Sets are equal when 128 bits of a
+digest over all their shingle hashes are.
 
 No group is gathered in one task and no large bucket is paired with itself:
 1. documents of equal sets are summed to one representative (map-side combined);
@@ -28,8 +32,11 @@ No group is gathered in one task and no large bucket is paired with itself:
 So no candidate pair of different components is left out, by a check or by a bound that rules it out.
 
 Null text counts as empty. Rows without a doc_id are linked with nothing: component_id is
-null and kept true. Rows with one doc_id and different texts are all linked through that id.
-Ties are broken by the least doc_id. Columns besides id and text are not read.
+null and kept true. Rows with one doc_id and different texts are all linked through that id, and each
+of their texts is compared. Repeated rows are copies, all of one verdict: `deduplicated` keeps or drops them
+together. Ties are broken by the least doc_id. An empty table gives no rows. Very long texts are read whole;
+a task holds the sets of one Arrow batch. Columns besides id and text are not read, and `deduplicated`
+returns them as they came, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.base import U64, checkpointed, flat, grams, lowered, mix, passes, sequence_hash, span_hashes, word_spans
+from mnemolake.llm.base import U64, checkpointed, flat, free_name, grams, lowered, mix, passes, plain_words, sequence_hash, span_hashes, spread_join, word_spans
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 48, 5
@@ -53,7 +60,8 @@ ORDER_BITS = 18
 #: Words of 64 bits in which a set marks its shingles: a mark that another set lacks is a shingle that it lacks.
 MARKS = 8
 _MARKED = [f"m{k}" for k in range(MARKS)]
-SPACE_BITS = 20
+#: Bits of a point that the circular shift turns, and what sigma mixes in.
+SPACE_BITS, SIGMA = 20, U64(0x6A09E667F3BCC909)
 #: Rows (of up to five numbers) for candidate documents that may be broadcast to pick their texts; above it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -61,13 +69,11 @@ _tables: list[np.ndarray] = []
 
 
 def tables() -> list[np.ndarray]:
-    """sigma, and the rows of pi: row i holds pi(i), pi(i + 1), ..., K of them."""
+    """The rows of P: row i holds P[i], P[i + 1], ..., K of them."""
     if not _tables:
-        size = 1 << SPACE_BITS
-        draw = np.random.RandomState(7)
-        sigma, pi = draw.permutation(size).astype(np.uint32), draw.permutation(size).astype(np.uint32)
-        around = np.concatenate([pi, pi[: BANDS * ROWS - 1]])
-        _tables.extend([sigma, np.lib.stride_tricks.sliding_window_view(around, BANDS * ROWS)])
+        table = np.random.RandomState(7).randint(0, 2**32, 1 << SPACE_BITS, dtype=np.uint32)
+        around = np.concatenate([table, table[: BANDS * ROWS - 1]])
+        _tables.append(np.lib.stride_tricks.sliding_window_view(around, BANDS * ROWS))
     return _tables
 
 
@@ -90,11 +96,12 @@ def sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    sigma, rows = tables()
-    at = sigma[(own >> U64(64 - SPACE_BITS)).astype(np.int64)]
-    out = rows[at[:1024]].min(0)
-    for k in range(1024, len(at), 1024):
-        np.minimum(out, rows[at[k : k + 1024]].min(0), out=out)
+    rows = tables()[0]
+    point = mix(own ^ SIGMA)
+    at, high = (point >> U64(64 - SPACE_BITS)).astype(np.int64), point.astype(np.uint32)[:, None]
+    out = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    for k in range(0, len(at), 256):
+        np.minimum(out, (rows[at[k : k + 256]] ^ high[k : k + 256]).min(0), out=out)
     return out
 
 
@@ -120,22 +127,41 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], ["doc_id", "n_shingles", "s1", "s2", "bands"])
 
 
-def _set_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text as its words, lower-cased, one space between."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets(batch.column(1))], pa.binary())], ["doc_id", "own"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b" ".join(plain_words(x.lower())) for x in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "own"])
+
+
+def alike(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
+    """Whether two texts' sets of shingles are a link. Exact: words are numbered, and runs of 1, 2, 4 and 5 words numbered by doubling."""
+    if a == b:
+        return bool(a)
+    both = a.split(b" "), b.split(b" ")
+    if min(map(len, both)) < SHINGLE:
+        return False  # one shingle that is the whole sequence, and they differ
+    number: dict[bytes, int] = {}
+    one = np.fromiter((number.setdefault(w, len(number)) for own in both for w in own), np.int64)
+    two = np.unique(one[:-1] * len(number) + one[1:], return_inverse=True)[1]
+    four = np.unique(two[:-2] * len(one) + two[2:], return_inverse=True)[1]
+    five = four[:-1] * len(number) + one[4:]
+    x, y = np.unique(five[: len(both[0]) - SHINGLE + 1]), np.unique(five[len(both[0]) :])
+    inter = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * inter >= percent * (len(x) + len(y) - inter)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yes = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        texts = [batch.column(k).to_pylist() for k in (2, 3)]
+        for x, y, s, t in zip(sets(batch.column(2)), sets(batch.column(3)), *texts, strict=True):
+            if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
                 yes.append(False)
                 continue
-            both = np.sort(np.concatenate([a, b]), kind="stable")
+            both = np.sort(np.concatenate([x, y]), kind="stable")
             inter = int((both[1:] == both[:-1]).sum())
-            yes.append(100 * inter >= PERCENT * (len(a) + len(b) - inter))
+            # hashes rule out most; what they let pass is decided by the words
+            yes.append(100 * inter >= PERCENT * (len(x) + len(y) - inter) and alike(s, t))
         keep = pa.array(yes, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
@@ -145,8 +171,8 @@ def confirmed(pairs: DataFrame, light: DataFrame) -> DataFrame:
     ids = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")
     if pairs.count() * 2 <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    # one set for each id; the sum leaves them dealt by id, as both joins want them
-    own = light.join(ids, "doc_id", "left_semi").mapInArrow(_set_blobs, "doc_id long, own binary").groupBy("doc_id").agg(F.first("own").alias("own"))
+    # a text for each id; of an id with several texts, each
+    own = light.join(ids, "doc_id", "left_semi").mapInArrow(_word_blobs, "doc_id long, own binary")
     left, right = own.select(F.col("doc_id").alias("u"), F.col("own").alias("a")), own.select(F.col("doc_id").alias("v"), F.col("own").alias("b"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long")
 
@@ -287,20 +313,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         links = checkpointed(confirmed(rest, light))
         if not links.isEmpty():
             found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
-    # documents of equal sets, and rows of equal ids
-    copy = one.where("copies > 1").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "rep")
-    tied = some.join(copy, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")), "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    double = tied.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b")
+    # rows of one id and different sets are linked through the id
+    both = F.struct("s1", "s2")
+    double = checkpointed(some.groupBy("doc_id").agg(F.min(both).alias("a"), F.max(both).alias("b")).where("a != b").select(F.col("doc_id").alias("u")))
     if not double.isEmpty():
-        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(tied.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()))
-    rep = signed.join(copy, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
-    out = rep.join(found, F.col("rep") == F.col("node"), "left").select(
-        F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "rep"), F.lit(True)).alias("kept")
-    )
-    return out
+        tied = some.join(double, F.col("doc_id") == F.col("u")).select("u", "s1", "s2").distinct().join(one.select("s1", "s2", F.col("rep").alias("v")), ["s1", "s2"]).select("u", "v")
+        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(tied))
+    # a set that several rows have knows its component; other rows ask by their id. Keys that must meet nothing are hashes of the row's place
+    linked = F.expr("n_shingles > 0 AND doc_id IS NOT NULL")
+    copy = checkpointed(one.where("copies > 1").join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", "copies", F.coalesce("component", "rep").alias("of")))
+    row = signed.select("doc_id", "n_shingles", "s1", "s2", F.monotonically_increasing_id().alias("at"))
+    row = row.select("doc_id", "n_shingles", *[F.when(linked, F.col(c)).otherwise(F.xxhash64(F.lit(c), "at")).alias(c) for c in ("s1", "s2")], "at")
+    row = spread_join(row, copy, ["s1", "s2"], "copies", "at")
+    asks = F.col("of").isNull() & linked
+    row = row.withColumn("key", F.when(asks, F.col("doc_id")).otherwise(F.xxhash64("at"))).withColumn("asks", asks)
+    out = row.join(found, F.expr("key = node AND asks"), "left").withColumn("component_id", F.coalesce("of", "component", "doc_id"))
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns as they came; documents linked with nothing all stay."""
-    gone = classes(docs.select(id_col, text_col), id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    name = free_name("gone", docs.columns)
+    gone = classes(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(f"`{name}`"), "left_anti")
