@@ -3,27 +3,32 @@
 A byte is removed if a string of LENGTH (200) bytes that covers it also starts anywhere else.
 Of every 200-byte string, the places where the hash of KEY (24) bytes is least are its anchors:
 they depend on its content alone, so copies have the same anchors. Only anchors whose key is met
-twice are sorted. Each group of documents sorts its suffixes (up to 200 bytes from the anchor)
-and front-codes the run: the length of the prefix shared with the suffix before, and the rest.
+twice are sorted. Each task sorts the suffixes (up to 200 bytes from the anchor) of some thousand
+documents and front-codes the run: the length of the prefix shared with the suffix before, and the rest.
 Runs are exchanged by key bucket and merged by a loser tree that keeps, for every waiting run, how
 many bytes it shares with the last winner; two suffixes are compared only beyond what they are
-known to share, and the merge yields the common prefixes of neighbours for free.
+known to share, and the merge yields the common prefixes of neighbours for free. A bucket is
+some megabytes, however large the corpus; a partition merges its buckets one after the other.
 
 With a suffix travel the up to 176 bytes before its anchor. A pair of anchors that share L bytes to
 the left and R to the right is one maximal run of L + R bytes around the anchor; it counts if
 L + R >= 200, and then covers all of it. Pairs are compared directly; in larger groups of one
 key, anchors are classed, for every offset o, by their o bytes to the left and 200 - o to the
 right, so a passage in many documents costs time in proportion to them, not to their pairs.
-All comparisons are of bytes; hashes only choose candidates.
+All comparisons are of bytes; hashes only choose candidates. Anchors alike in all that travels, as in a
+passage that many documents hold or a text of one letter, are one entry of a run and settled where they meet.
 
 Null and empty texts have no bytes. Documents shorter than 200 bytes lose nothing. Rows alike in id
-and text are copies of each other as any. Matches never cross documents. Columns besides id and
-text are not read.
+and text are copies of each other as any. Matches never cross documents. A very long text is read whole by
+one worker. Which of equal rows comes first does not matter, nor do columns besides id and
+text, which are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +37,16 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from mnemolake.llm import anchors
-from mnemolake.llm.base import U64, byte_windows, flat, packed, partitions, passes, unpacked
+from mnemolake.llm.base import U64, byte_windows, flat, packed, passes, unpacked
 
 LENGTH, KEY = 200, 24
 #: Keys in a string of LENGTH bytes, and the most bytes that it can have before an anchor.
 WIDE = LENGTH - KEY + 1
 BEFORE = LENGTH - KEY
 I64, I32, U32, U8 = np.int64, np.int32, np.uint32, np.uint8
+#: Different suffixes that a task sorts into a run.
+ITEMS = 60_000
+ITEM = "suffix binary, before binary, uid long, g int, place int, many boolean"
 
 
 def _sliding(x: np.ndarray, wide: int, pick: np.ufunc, fill: int) -> np.ndarray:
@@ -72,27 +80,18 @@ def anchor_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return at, h[at]
 
 
-def _anchored(groups: int, buckets: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        none = np.zeros(0, U64)
+def _anchored(buckets: int, bits: int):
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
-            uids = batch.column(0).to_numpy()
+            uids, groups = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             data, at = flat(batch.column(1))
             for i, j in passes(at):
                 off = at[i : j + 1] - at[i]
                 p, h = anchor_places(data[at[i] : at[j]], off)
                 row = np.searchsorted(off, p, "right") - 1
-                held.append((h, uids[i:j][row], p - off[row]))
-                size += len(p)
-                if size >= anchors.FLUSH:
-                    yield anchors.flushed(*(np.concatenate(x) for x in zip(*held, strict=True)), none, groups, buckets, bits)
-                    held, size = [], 0
-        if size:
-            yield anchors.flushed(*(np.concatenate(x) for x in zip(*held, strict=True)), none, groups, buckets, bits)
+                yield h, groups[i:j][row], uids[i:j][row], p - off[row], np.zeros(0, U64)
 
-    return run
+    return lambda batches: anchors.flushes(parts(batches), buckets, bits)
 
 
 # --- front-coded runs ---
@@ -110,8 +109,8 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
     return min(most, h + (256 - x.bit_length()) // 8) if x else most
 
 
-def coded(items: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
-    """A run of (suffix, bytes before reversed, many, uid, place), sorted, front-coded."""
+def coded(items: list[tuple[bytes, bytes, int, int, int, int]]) -> bytes:
+    """A run of (suffix, bytes before reversed, many, uid, g, place), sorted, front-coded."""
     n = len(items)
     shared, tails, last = np.zeros(n, U8), [], b""
     for i, x in enumerate(items):
@@ -119,26 +118,25 @@ def coded(items: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
         shared[i] = k
         tails.append(x[0][k:])
         last = x[0]
-    table, index = np.unique(np.array([x[3] for x in items], I64), return_inverse=True)
+    many, uid, g, place = (np.array(x, kind) for x, kind in zip(list(zip(*items, strict=True))[2:], (U8, I64, I32, I32), strict=True))
     tail_n = np.fromiter(map(len, tails), U8, n)
     before_n = np.fromiter((len(x[1]) for x in items), U8, n)
     text = np.frombuffer(pa.compress(b"".join([*tails, *(x[1] for x in items)]), "zstd", asbytes=True), U8)
     size = np.array([int(tail_n.sum(dtype=I64)) + int(before_n.sum(dtype=I64))], I64)
-    return packed(shared, tail_n, before_n, np.array([x[2] for x in items], U8), table, index.astype(U32), np.array([x[4] for x in items], I32), size, text)
+    return packed(shared, tail_n, before_n, many, uid, g, place, size, text)
 
 
 class Run:
     """Reads a coded run: the suffixes one by one, each with what it shares with the one before."""
 
     def __init__(self, blob: bytes) -> None:
-        self.shared, self.tail_n, before_n, self.many, table, index, self.place, size, text = unpacked(blob, U8, U8, U8, U8, I64, U32, I32, I64, U8)
+        self.shared, self.tail_n, before_n, self.many, self.uid, self.g, self.place, size, text = unpacked(blob, U8, U8, U8, U8, I64, I32, I32, I64, U8)
         raw = pa.decompress(text.tobytes(), int(size[0]), "zstd", asbytes=True)
         ends = np.concatenate([self.tail_n, before_n]).astype(I64).cumsum().tolist()
         n = len(self.shared)
         starts = [0, *ends]
         self.tails = [raw[a:b] for a, b in zip(starts[:n], ends[:n], strict=True)]
         self.before = [raw[a:b] for a, b in zip(starts[n : 2 * n], ends[n:], strict=True)]
-        self.uid = table[index]
         self.shared = self.shared.tolist()
         self.at, self.now = -1, b""
 
@@ -270,81 +268,107 @@ def covered(suffix_n: np.ndarray, shared: np.ndarray, before: list[bytes]) -> tu
     return whole(items), whole(lefts), whole(rights)
 
 
-def _runs(groups: int, buckets: int):
-    def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        uid, pos = anchors.places(hits["blob"].to_pylist())
-        order = np.lexsort((pos, uid))
-        uid, pos = uid[order], pos[order]
-        by: dict[int, list] = {}
-        if len(uid):
-            for u, text in zip(docs["uid"].to_pylist(), docs["text"].cast(pa.binary()).to_pylist(), strict=True):
-                a, b = np.searchsorted(uid, u), np.searchsorted(uid, u, "right")
-                for p in np.unique(pos[a:b]).tolist():
-                    key = xxhash.xxh3_64_intdigest(text[p : p + KEY]) * buckets >> 64
-                    by.setdefault(key, []).append((text[p : p + LENGTH], text[max(0, p - BEFORE) : p][::-1], u, p))
-        rows, done = [], []
-        for bucket, items in by.items():
-            items.sort()
-            kept: list[tuple[bytes, bytes, int, int, int]] = []
-            i = 0
-            while i < len(items):
-                j = i + 1
-                while j < len(items) and items[j][:2] == items[i][:2]:
-                    j += 1
-                s, left, u, p = items[i]
-                if j > i + 1 and len(s) + len(left) >= LENGTH:  # copies here: all that travels is covered
-                    done += [(x[2], x[3] - len(left), x[3] + len(s)) for x in items[i:j]]
-                    kept.append((s, left, 1, u, p))
-                else:
-                    kept += [(*x[:2], 0, *x[2:]) for x in items[i:j]]
-                i = j
-            rows.append((bucket, 0, -1, coded(kept)))
-        if done:
-            u, a, b = (np.array(x, I64) for x in zip(*done, strict=True))
-            rows += [(g % buckets, 1, g, blob) for g, blob in anchors.by_group(u, groups, a, b)]
-        return pa.Table.from_batches([anchors.sent(rows)])
-
-    return run
-
-
-def _merge(groups: int):
+class Suffixes:
+    """Gathers suffixes with what stands before them; of those alike in both, one is kept and the places of all."""
+
+    def __init__(self) -> None:
+        self.kept: dict[tuple[bytes, bytes], list] = {}  # -> [many, places (uid, g, place) in a row]
+        self.size = 0
+
+    def add(self, suffix: bytes, before: bytes, uid: int, g: int, place: int, many: bool = False) -> None:
+        found = self.kept.get((suffix, before))
+        if found is None:
+            found = self.kept[suffix, before] = [False, array("q")]
+        found[0] = found[0] or many
+        found[1].extend((uid, g, place))
+        self.size += 1
+
+    def settled(self) -> tuple[list[tuple[bytes, bytes, int, int, int, int]], np.ndarray]:
+        """(suffix, before, many, uid, g, place) of each different one, and rows (g, uid, start, end) of what is covered already: all that travels of two alike, if it is long enough."""
+        left, done = [], [np.zeros((0, 4), I64)]
+        for (suffix, before), (many, where) in self.kept.items():
+            own = np.frombuffer(where, I64).reshape(-1, 3)
+            twice = many or len(own) > 1
+            if twice and len(suffix) + len(before) >= LENGTH:
+                done.append(np.column_stack([own[:, 1], own[:, 0], own[:, 2] - len(before), own[:, 2] + len(suffix)]))
+                own = own[:1]
+            else:  # too short a text: none of them is covered by being alike
+                twice = False
+            left += [(suffix, before, int(twice), *map(int, x)) for x in own]
+        return left, np.concatenate(done)
+
+
+def _ranges(rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    g, uid, start, end = rows.T
+    return anchors.by_group(g, uid, start, end)
+
+
+def _suffixes(docs: pa.Table, hits: pa.Table) -> pa.Table:
+    """The suffixes of a group at its anchors that are met elsewhere."""
+    uid, pos = anchors.places(hits["blob"].to_pylist())
+    held, g = Suffixes(), docs["g"][0].as_py() if len(docs) else 0
+    for u, text in zip(*anchors.texts(docs), strict=True) if len(uid) else ():
+        a, b = np.searchsorted(uid, u), np.searchsorted(uid, u, "right")
+        for p in np.unique(pos[a:b]).tolist():
+            held.add(text[p : p + LENGTH], text[max(0, p - BEFORE) : p][::-1], int(u), g, p)
+    left, done = held.settled()
+    rows = [(s, x, u, h, p, bool(many)) for s, x, many, u, h, p in left]
+    rows += [(None, blob, 0, g, 0, False) for g, blob in _ranges(done)]  # without a suffix: ranges that are settled
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], ["suffix", "before", "uid", "g", "place", "many"])
+
+
+def _runs(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = []
+        held = Suffixes()
         for batch in batches:
-            passed = []
-            for kind, g, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if kind:
-                    passed.append((g, blob.as_py()))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] is None:
+                    yield anchors.sent(anchors.passed([(row[3], row[1])], buckets))
                 else:
-                    runs.append(Run(blob.as_py()))
-            if passed:
-                yield anchors.back(passed)
-        runs = [r for r in runs if r.tails]
-        if not runs:
-            return
-        number, item, length, shared = [], [], [], []
-        for r, i, suffix, k in merged(runs):
-            number.append(r)
-            item.append(i)
-            length.append(len(suffix))
-            shared.append(k)
-        before = [runs[r].before[i] for r, i in zip(number, item, strict=True)]
-        uid = np.array([runs[r].uid[i] for r, i in zip(number, item, strict=True)], I64)
-        place = np.array([runs[r].place[i] for r, i in zip(number, item, strict=True)], I64)
-        at, left, right = covered(np.array(length, I64), np.array(shared, I64), before)
-        if len(at):
-            yield anchors.back(list(anchors.by_group(uid[at], groups, place[at] - left, place[at] + right)))
+                    held.add(*row)
+            if len(held.kept) >= ITEMS or held.size >= 20 * ITEMS:
+                yield _sorted(held, buckets)
+                held = Suffixes()
+        if held.kept:
+            yield _sorted(held, buckets)
 
     return run
 
 
-def repeats(docs: DataFrame, groups: int, rows: int) -> DataFrame:
+def _sorted(held: Suffixes, buckets: int) -> pa.RecordBatch:
+    left, done = held.settled()
+    rows = anchors.passed(_ranges(done), buckets)
+    by: dict[int, list] = defaultdict(list)
+    for x in left:
+        by[xxhash.xxh3_64_intdigest(x[0][:KEY]) * buckets >> 64].append(x)
+    for bucket, items in by.items():
+        items.sort()
+        rows.append((bucket, 0, -1, coded(items)))
+    return anchors.sent(rows)
+
+
+def _merge(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Byte ranges that a bucket's runs cover, as payloads by group."""
+    runs = [Run(blob) for blob in blobs]
+    number, item, length, shared = [], [], [], []
+    for r, i, suffix, k in merged(runs):
+        number.append(r)
+        item.append(i)
+        length.append(len(suffix))
+        shared.append(k)
+    before = [runs[r].before[i] for r, i in zip(number, item, strict=True)]
+    uid, g, place = (np.array([getattr(runs[r], name)[i] for r, i in zip(number, item, strict=True)], I64) for name in ("uid", "g", "place"))
+    at, left, right = covered(np.array(length, I64), np.array(shared, I64), before)
+    yield from anchors.by_group(g[at], uid[at], place[at] - left, place[at] + right)
+
+
+def repeats(docs: DataFrame, deal: anchors.Deal) -> DataFrame:
     """(g, blob): byte ranges covered by strings that start anywhere else."""
-    buckets = partitions(docs.sparkSession)
-    sent = docs.select("uid", "text").mapInArrow(_anchored(groups, buckets, anchors.hash_bits(rows * 60)), anchors.SENT)
-    hits = anchors.repeated(sent, groups)
-    sent = docs.select("doc_id", "uid", "text", "g").groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_runs(groups, buckets), anchors.SENT)
-    return anchors.dealt(sent).mapInArrow(_merge(groups), anchors.BACK)
+    hits = anchors.repeated(docs.select("uid", "text", "g").mapInArrow(_anchored(deal.buckets, anchors.hash_bits(deal.bytes / 50)), anchors.SENT))
+    # with all columns each time, so that the texts are exchanged once
+    suffixes = docs.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_suffixes, ITEM)
+    return anchors.dealt(suffixes.mapInArrow(_runs(deal.buckets), anchors.SENT), _merge)
 
 
 def _cut(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -365,19 +389,17 @@ def _cut(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def _removed(docs: DataFrame, finish, schema: str, id_col: str, text_col: str) -> DataFrame:
-    light, groups, rows = anchors.grouped(docs, id_col, text_col)
+    light, deal = anchors.grouped(docs, id_col, text_col)
 
     def run(texts: pa.Table, flags: pa.Table) -> pa.Table:
         uid, start, end = anchors.places(flags["blob"].to_pylist(), 2)
-        order = np.argsort(uid, kind="stable")
-        uid, start, end = uid[order], start[order], end[order]
         out = []
-        for u, text in zip(texts["uid"].to_pylist(), texts["text"].cast(pa.binary()).to_pylist(), strict=True):
+        for u, text in zip(*anchors.texts(texts), strict=True):
             a, b = np.searchsorted(uid, u), np.searchsorted(uid, u, "right")
             out.append((len(text), *_cut(text, list(zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)))))
         return pa.Table.from_batches([finish(texts["doc_id"].combine_chunks(), out)])
 
-    return light.select("doc_id", "uid", "text", "g").groupBy("g").cogroup(repeats(light, groups, rows).groupBy("g")).applyInArrow(run, schema)
+    return light.groupBy("g").cogroup(repeats(light, deal).groupBy("g")).applyInArrow(run, schema)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
