@@ -9,12 +9,16 @@ if there is none, a new bin is opened. Pieces are placed longest first; ties by
 A document longer than a bin is cut at word boundaries into full pieces, each a bin of its own,
 and a remainder. Documents without words (null or empty texts) take no space: their bin_id is
 null. A null source conflicts with nothing. A cluster is the documents with one sequence of
-words, A-Z lower-cased. Rows with equal ids are packed as separate documents.
-
-Documents are dealt by a hash of id and text to groups of about GROUP documents, packed each in a
-task of its own: two pieces that could conflict in different groups are in different bins
-anyway, memory is bounded by GROUP, and neither a hot source nor a hot cluster decides where a
-row goes. Only ids and counts are shuffled, never texts.
+words, A-Z lower-cased (128 bits of a hash over all of it). Rows with equal ids are packed as separate
+documents, repeated rows too. An empty table gives no rows; columns besides id, text and source are not read.
+
+No task holds more than about `group` pieces. Documents are dealt by a hash of id, text and place to
+groups, packed each in a task of its own: two pieces that could conflict in different groups are in
+different bins anyway, and neither a hot source nor a hot cluster decides where a row goes. Then the search
+crosses groups: bins of all groups with `room` words left or more are packed again as pieces that
+carry the sources and clusters of all they hold, in rounds of newly dealt groups, until one group
+holds all such bins or a round no longer makes them fewer (as where one source has very many
+documents, of which a bin takes one). Only ids and counts are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -22,15 +26,17 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.base import flat, lowered, passes, sequence_hash, span_hashes, word_spans
+from mnemolake.llm.base import checkpointed, plain_words
 
 CAPACITY, GROUP = 2048, 20_000
+#: Words left from which a bin is packed again with those of other groups; the least share of such bins that a round must do away with.
+ROOM, LESS = CAPACITY // 8, 0.02
 
 
 class Bins:
@@ -80,27 +86,63 @@ class Bins:
         masks.setdefault(mask, []).append(bin_no)
 
 
-def packed_group(rows: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
-    """Bins for one group of (group, doc_id, source, cluster, n_words)."""
-    bins, sources, clusters = Bins(capacity), {}, {}
-    many = rows.cluster.duplicated(keep=False).to_numpy()
-    out = []
-    order = rows.assign(rest=rows.n_words % capacity, many=many).sort_values(["rest", "doc_id", "n_words", "cluster"], ascending=[False, True, True, True], kind="stable", na_position="last")
-    full = 0
+class Bits(dict):
+    """A bit for each name that a group meets."""
+
+    def mask(self, names) -> int:  # noqa: ANN001
+        return sum({1 << self.setdefault(x, len(self)) for x in names})
+
+
+def ordered(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Documents in the order in which their remainders are placed."""
+    return rows.assign(rest=rows.n_words % capacity).sort_values(["rest", "doc_id", "n_words", "cluster", "at"], ascending=[False, True, True, True, True], kind="stable", na_position="last")
+
+
+def packed_group(rows: pd.DataFrame, capacity: int = CAPACITY, room: int = ROOM) -> pd.DataFrame:
+    """Bins for one group of (group, at, doc_id, source, cluster, n_words): a row for each piece, and a row without `piece` for each bin with room, with what it holds."""
+    bins, sources, clusters = Bins(capacity), Bits(), Bits()
+    twins = rows.cluster[rows.cluster.duplicated(keep=False)]
+    twins = set(twins)
+    pieces: list[tuple] = []
+    held: dict[int, list] = {}
     later = []
-    for doc, source, cluster, n, rest, twin in zip(order.doc_id, order.source, order.cluster, order.n_words, order.rest, order.many, strict=True):
-        s = 0 if source is None or source != source else 1 << sources.setdefault(source, len(sources))
-        c = 1 << clusters.setdefault(cluster, len(clusters)) if twin else 0
-        for k in range(n // capacity):
-            later.append((doc, k, k * capacity, capacity))
+    order = ordered(rows, capacity)
+    for doc, source, cluster, n, rest in zip(order.doc_id, order.source, order.cluster, order.n_words, order.rest, strict=True):
+        known = isinstance(source, str)
+        later += [(doc, k, k * capacity, capacity) for k in range(n // capacity)]
         if rest:
-            out.append((bins.place(int(rest), s, c), doc, n // capacity, n - rest, rest))
-    for x in later:
-        out.append((bins.opened + full, *x))
-        full += 1
-    got = pd.DataFrame(out, columns=["bin_id", "doc_id", "piece", "start", "n_words"])
+            at = bins.place(int(rest), sources.mask([source] if known else []), clusters.mask([cluster] if cluster in twins else []))
+            pieces.append((at, doc, n // capacity, n - rest, rest, None, None))
+            mine = held.setdefault(at, [0, [], []])
+            mine[0] += int(rest)
+            mine[1] += [source] if known else []
+            mine[2].append(cluster)
+    pieces += [(bins.opened + i, *x, None, None) for i, x in enumerate(later)]
+    pieces += [(at, None, None, None, used, own, twin) for at, (used, own, twin) in held.items() if capacity - used >= room]
+    got = pd.DataFrame(pieces, columns=["bin_id", "doc_id", "piece", "start", "n_words", "sources", "clusters"])
     got["bin_id"] = (int(rows.group.iloc[0]) << 32) + got.bin_id
-    return got
+    return got.astype({c: "Int64" for c in ("bin_id", "doc_id", "piece", "start", "n_words")})
+
+
+def joined_group(rows: pd.DataFrame, capacity: int = CAPACITY, room: int = ROOM) -> pd.DataFrame:
+    """(bin_id, to) for the bins of one group, each packed as one piece, and a row without bin_id for each `to` that still has room."""
+    bins, sources, clusters = Bins(capacity), Bits(), Bits()
+    names: list[int] = []
+    held: list[list] = []
+    out = []
+    order = rows.sort_values(["n_words", "to"], ascending=[False, True])
+    for to, used, own, twin in zip(order.to, order.n_words, order.sources, order.clusters, strict=True):
+        at = bins.place(int(used), sources.mask(own), clusters.mask(twin))
+        if at == len(names):
+            names.append(int(to))
+            held.append([0, [], []])
+        held[at][0] += int(used)
+        held[at][1] += list(own)
+        held[at][2] += list(twin)
+        if names[at] != to:
+            out.append((int(to), names[at], None, None, None))
+    out += [(None, name, *x) for name, x in zip(names, held, strict=True) if capacity - x[0] >= room]
+    return pd.DataFrame(out, columns=["bin_id", "to", "n_words", "sources", "clusters"]).astype({c: "Int64" for c in ("bin_id", "to", "n_words")})
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -108,30 +150,55 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = flat(batch.column(3))
             counts, clusters = [], []
-            for i, j in passes(at):
-                low = lowered(data[at[i] : at[j]])
-                start, end, first = word_spans(low, at[i : j + 1] - at[i])
-                h = span_hashes(low, start, end)
-                counts += np.diff(first).tolist()
-                clusters += [int(sequence_hash(h[a:b])[0].view(np.int64)) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(clusters, pa.int64())], ["doc_id", "source", "key", "n_words", "cluster"])
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
-    return light.mapInArrow(run, "doc_id long, source string, key long, n_words long, cluster long")
-
-
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """One row for each piece: bin_id, doc_id, piece, start (a word's number), n_words; and source."""
-    groups = max(1, -(-docs.select(F.count(F.lit(1))).first()[0] // group))
-    rows = measured(docs, id_col, text_col, source_col).withColumn("group", F.pmod("key", F.lit(groups)))
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        some, none = rows[rows.n_words > 0], rows[rows.n_words == 0]
-        got = packed_group(some, capacity) if len(some) else pd.DataFrame({"bin_id": [], "doc_id": [], "piece": [], "start": [], "n_words": []})
-        empty = pd.DataFrame({"bin_id": pd.NA, "doc_id": none.doc_id, "piece": 0, "start": 0, "n_words": 0})
-        return pd.concat([got.astype("Int64"), empty.astype("Int64")], ignore_index=True)
-
-    return rows.groupBy("group").applyInPandas(pack, "bin_id long, doc_id long, piece long, start long, n_words long")
+            for text in batch.column(3).cast(pa.binary()):
+                words = plain_words(text.as_buffer().to_pybytes().lower())
+                counts.append(len(words))
+                clusters.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(clusters, pa.binary())], ["doc_id", "source", "key", "n_words", "cluster"])
+
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    light = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), text.alias("text"))
+    return light.mapInArrow(run, "doc_id long, source string, key long, n_words long, cluster binary")
+
+
+def _renamed(bins: DataFrame, group: int, capacity: int, room: int) -> DataFrame | None:
+    """(bin_id, to): the bins that other groups' bins took in, over all rounds; None if there are none. bins: (to, n_words, sources, clusters)."""
+    moved, n, turn = None, bins.count(), 0
+    while n > 1:
+        turn += 1
+        groups = -(-n // group)
+        dealt = bins.withColumn("group", F.pmod(F.xxhash64("to", F.lit(turn)), F.lit(groups)))
+        now = checkpointed(dealt.groupBy("group").applyInPandas(lambda rows: joined_group(rows, capacity, room), "bin_id long, to long, n_words long, sources array<string>, clusters array<binary>"))
+        step = now.where("bin_id IS NOT NULL").select("bin_id", "to")
+        if moved is None:
+            moved = step
+        else:
+            again = step.select(F.col("bin_id").alias("mid"), F.col("to").alias("last"))
+            moved = checkpointed(moved.join(again, F.col("to") == F.col("mid"), "left").select("bin_id", F.coalesce("last", "to").alias("to")).unionByName(step))
+        bins = now.where("bin_id IS NULL").select("to", "n_words", "sources", "clusters")
+        left = bins.count()
+        if groups == 1 or left > (1 - LESS) * n:
+            break
+        n = left
+    return moved
+
+
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, group: int = GROUP, room: int | None = None) -> DataFrame:
+    """One row for each piece: bin_id, doc_id, piece, start (a word's number) and n_words."""
+    room = max(1, capacity * ROOM // CAPACITY) if room is None else room
+    rows = checkpointed(measured(docs, id_col, text_col, source_col)).withColumn("at", F.monotonically_increasing_id())
+    groups = max(1, -(-rows.count() // group))
+    dealt = rows.where("n_words > 0").withColumn("group", F.pmod(F.xxhash64("key", "at"), F.lit(groups))).drop("key")
+    wide = "bin_id long, doc_id long, piece long, start long, n_words long, sources array<string>, clusters array<binary>"
+    pieces = dealt.groupBy("group").applyInPandas(lambda rows: packed_group(rows, capacity, room if groups > 1 else capacity + 1), wide)
+    names = ["bin_id", "doc_id", "piece", "start", "n_words"]
+    none = rows.where("n_words = 0").select(F.lit(None).cast("long").alias("bin_id"), "doc_id", *[F.lit(0).cast("long").alias(c) for c in names[2:]])
+    if groups > 1:
+        pieces = checkpointed(pieces)
+        moved = _renamed(pieces.where("piece IS NULL").select(F.col("bin_id").alias("to"), "n_words", "sources", "clusters"), group, capacity, room)
+        pieces = pieces.where("piece IS NOT NULL")
+        if moved is not None:
+            moved = moved.select(F.col("bin_id").alias("old"), "to")
+            pieces = pieces.join(moved, F.col("bin_id") == F.col("old"), "left").withColumn("bin_id", F.coalesce("to", "bin_id"))
+    return pieces.select(*names).unionByName(none)
