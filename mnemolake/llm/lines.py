@@ -4,12 +4,14 @@ A line's key is the line without ASCII white space at both ends and with A-Z low
 of at least `least_chars` code points found in at least `least_docs` documents loses all its
 lines except those of the largest doc_id that holds it. Null and empty texts are one empty line,
 which is too short to drop. A row without a doc_id keeps all its lines and does not count.
-Rows with one doc_id count as one document and are cut alike. Columns besides id and text pass
-through `deduplicated` untouched, whatever their names.
+Rows with one doc_id count as one document and are cut alike, repeated rows too. Columns besides id and
+text pass through `deduplicated` untouched, whatever their names. A very long text is read whole by
+one worker. An empty table gives no rows.
 
 Keys travel as 128-bit hashes. Distinct documents are counted in two steps, the first by
 (key, document), so a line that a third of all documents hold is summed on the map side
-before any task sees it; the join back is an equi-join whose large side AQE can split.
+before any task sees it. In the join back, the lines with more than a task's share of
+all rows are broadcast (a bounded number of keys, see `spread_join`), the others joined by shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemolake.llm.base import checkpointed, spread_join
+
 _STRIP = b" \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 20, 3
 
@@ -68,8 +72,8 @@ def drops(docs: DataFrame, id_col: str, text_col: str, least_chars: int = LEAST_
     """(doc, drop): for each document that loses lines, the hashes of their keys end to end."""
     light = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc IS NOT NULL")
     lines = light.mapInArrow(_exploded(least_chars), "h1 long, h2 long, doc long")
-    shared = lines.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= least_docs)
-    hit = lines.join(shared, ["h1", "h2"]).where("doc != last")
+    shared = lines.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("doc").alias("last")).where(F.col("n") >= least_docs)
+    hit = spread_join(lines, checkpointed(shared.select("h1", "h2", "rows", "last")), ["h1", "h2"], "rows", "doc").where("doc != last")
     # a long is stored as hashed: its bytes, little end first
     little = lambda c: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 16, "0"), i, 2) for i in range(15, 0, -2)]))
     return hit.groupBy("doc").agg(F.array_agg(F.concat(little("h1"), little("h2"))).alias("parts")).select("doc", F.unhex(F.array_join(F.transform("parts", F.hex), "")).alias("drop"))
