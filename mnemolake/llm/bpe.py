@@ -7,17 +7,23 @@ merge list gives back just the two. So the transducer keeps, for each of the las
 positions only, that last token; LOOKAHEAD is the longest token of the merge list in
 symbols, the sufficient lookahead, since no later token can begin further back. Once all live
 positions' paths run through one token, that token and all before it can never change: they
-are stable, and are emitted. Memory is constant in the text's length (tokens of one
-unbroken path are held until stable). Short pre-tokens go through a bounded cache of whole results, which
-changes nothing but the time. Merge rank order decides; special strings are cut out first,
-as the tokenizer file says; text is NFC-normalised and lower-cased.
-
-Decoding is the inverse state machine from ids to text: the file names no decoder, so tokens
-are written as spelt, one space between; `Decoder` takes ids in pieces of any size. `decoded_bytes`
-is the machine that gives back UTF-8 text: it maps spelt bytes back, turns word ends into spaces
-and holds an unfinished UTF-8 sequence until it is whole.
-
-Null counts as the empty text: no tokens. Every row is encoded by itself; repeated rows alike.
+are stable, and are emitted. The transducer's states, the last token and all ids of a prefix, are
+remembered for prefixes of up to SHORT symbols in a bounded cache, so that a short pre-token that begins
+like another goes on from there; this changes nothing but the time. Merge rank order decides; special
+strings are cut out first, as the tokenizer file says; text is NFC-normalised and lower-cased.
+
+A text is read in segments of about SEGMENT characters, cut before a blank or line break: no
+pre-token, special string, composition or case rule reaches across one. Ids leave in pieces of that
+order too, so besides the text itself memory is constant, or as long as the longest run without a
+blank or line break.
+
+Decoding is the inverse machine: each id stands for some bytes, which an incremental UTF-8 machine turns
+into text, holding a sequence until it is whole; ids come in pieces of any size. The file names no
+decoder, so `Decoder` writes tokens as spelt, one space between; `decoded_bytes` runs the same machine
+over the bytes that the spelling stands for, with word ends as spaces.
+
+Null counts as the empty text: no tokens. Every row is encoded by itself; ties cannot arise, and repeated
+rows are encoded alike. An empty table gives no rows. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -37,6 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE, PAIRS, SHORT = 120_000, 300_000, 40
+#: Characters of a segment of text, and ids of a piece.
+SEGMENT = 1 << 16
 
 
 class Memo(dict):
@@ -50,8 +58,6 @@ class Memo(dict):
         got = self.older.get(key)
         if got is None:
             got = self.made(key)
-            if len(key) > SHORT:
-                return got
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
@@ -96,7 +102,7 @@ class Transducer:
         #: The longest token in symbols: a pre-token's earlier positions can no longer begin a token.
         self.lookahead = max(len(s.removesuffix(self.end)) for s in self.vocab)
         self.stable: dict[tuple[str, str], bool] = {}
-        self.memo, self.prefixes = Memo(self.word), Memo(lambda p: self._last(p, ""))
+        self.memo, self.states = Memo(self.short), Memo(lambda prefix: self.state(prefix, ""))
 
     # --- the merge list ---
 
@@ -214,79 +220,131 @@ class Transducer:
             known = self.stable["", token] = self.merged(self.parts(token)) == [token]
         return known
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def symbols(self, word: str) -> Iterator[str]:
+        """The spelling of a pre-token's bytes; the last one carries the word end."""
+        last = ""
+        for at in range(0, len(word), SEGMENT):
+            for symbol in word[at : at + SEGMENT].encode("utf-8").decode("latin-1").translate(self.spell):
+                if last:
+                    yield last
+                last = symbol
+        yield last + self.end
+
+    def word(self, word: str) -> Iterator[int]:
         """Ids of one pre-token."""
-        if word.isascii() and word.isalnum():
-            spelt = word
-        else:
-            spelt = word.encode("utf-8").decode("latin-1").translate(self.spell)
-        if len(spelt) > SHORT:
-            return tuple(self.vocab[t] for t in self.tokens(c if i < len(spelt) - 1 else c + self.end for i, c in enumerate(spelt)))
-        return self._last(spelt, self.end)[1]
-
-    def _last(self, spelt: str, end: str) -> tuple[str, tuple[int, ...]]:
-        """The last token and all ids of a short string: the same rule as in `tokens`, over remembered prefixes."""
-        vocab, stable, prefixes = self.vocab, self.stable, self.prefixes
-        n = len(spelt)
-        whole = spelt + end
-        for j in range(max(0, n - self.lookahead), n):
+        return map(self.vocab.__getitem__, self.tokens(self.symbols(word)))
+
+    def short(self, word: str) -> tuple[int, ...]:
+        """Ids of a pre-token of up to SHORT characters."""
+        spelt = word if word.isascii() and word.isalnum() else word.encode("utf-8").decode("latin-1").translate(self.spell)
+        return self.state(spelt, self.end)[1] if len(spelt) <= SHORT else tuple(self.word(word))
+
+    def state(self, spelt: str, end: str) -> tuple[str, tuple[int, ...]]:
+        """The last token and all ids of a prefix (with `end`: of a whole pre-token), by the rule of `tokens` from remembered states."""
+        vocab, stable, whole = self.vocab, self.stable, spelt + end
+        for j in range(max(0, len(spelt) - self.lookahead), len(spelt)):
             piece = whole[j:]
-            if piece in vocab:
-                if not j:
-                    if self.whole(piece):
-                        return piece, (vocab[piece],)
-                    continue
-                left, ids = prefixes[spelt[:j]]
-                known = stable.get((left, piece))
-                if known if known is not None else self.pair_is_stable(left, piece):
-                    return piece, (*ids, vocab[piece])
+            if piece not in vocab:
+                continue
+            if not j:
+                if self.whole(piece):
+                    return piece, (vocab[piece],)
+                continue
+            left, ids = self.states[spelt[:j]]
+            known = stable.get((left, piece))
+            if known if known is not None else self.pair_is_stable(left, piece):
+                return piece, (*ids, vocab[piece])
         raise ValueError(f"no token ends {spelt!r}")
 
-    def _plain(self, text: str) -> Iterable[tuple[int, ...]]:
-        """Ids of each pre-token of a text without special strings."""
+    def _plain(self, text: str) -> Iterator[Iterable[int]]:
+        """Ids of each pre-token of a segment without special strings."""
         if text.isascii():
             words = self.ascii_words.findall(text.lower())
         else:
             words = self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-        return map(self.memo.__getitem__, words)
+        if max(map(len, words), default=0) <= SHORT:
+            return map(self.memo.__getitem__, words)
+        return (self.memo[w] if len(w) <= SHORT else self.word(w) for w in words)
+
+    def pieces(self, text: str) -> Iterator[array]:
+        """The ids of a text, in pieces of about SEGMENT."""
+        for segment in segments(text):
+            out, at = array("I"), 0
+            for m in self.cut.finditer(segment) if self.cut else ():
+                out.extend(chain.from_iterable(self._plain(segment[at : m.start()])))
+                out.append(self.special[m[0]])
+                at = m.end()
+            rest = chain.from_iterable(self._plain(segment[at:] if at else segment))
+            while len(segment) > 2 * SEGMENT and (some := array("I", islice(rest, SEGMENT))):  # a run without blanks
+                yield out + some
+                out = array("I")
+            out.extend(rest)
+            yield out
 
     def encode(self, text: str) -> array:
-        out, at = array("I"), 0
-        for m in self.cut.finditer(text) if self.cut else ():
-            out.extend(chain.from_iterable(self._plain(text[at : m.start()])))
-            out.append(self.special[m[0]])
-            at = m.end()
-        out.extend(chain.from_iterable(self._plain(text[at:] if at else text)))
+        out = array("I")
+        for piece in self.pieces(text):
+            out += piece
         return out
 
 
+def segments(text: str, most: int = SEGMENT) -> Iterator[str]:
+    """The text in parts of about `most` characters, each cut before a blank or line break."""
+    at = 0
+    while len(text) - at > most:
+        cut = max(text.rfind(" ", at + 1, at + most), text.rfind("\n", at + 1, at + most))
+        if cut < 0:
+            ahead = [x for x in (text.find(" ", at + most), text.find("\n", at + most)) if x >= 0]
+            cut = min(ahead, default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
+
+
 _EMITTED = ("", None)
 
 
 class Decoder:
-    """Ids to text as the tokenizer file spells it; takes them in pieces."""
+    """Ids to text by way of bytes, in pieces. `strings` tells each id's token, `spoken` a token's bytes, and `between` stands between two."""
 
-    def __init__(self, strings: list[str]) -> None:
-        self.strings, self.began = strings, False
+    def __init__(self, strings: list[str], spoken: Callable[[str], bytes] = str.encode, between: bytes = b" ") -> None:
+        self.strings, self.spoken, self.between = strings, spoken, between
+        self.began = False
+        self.known: dict[int, bytes] = {}
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        strings = self.strings
-        text = " ".join([strings[i] for i in ids])
-        if not text:
+        """The text that is certain by now; a broken sequence becomes U+FFFD."""
+        known, strings = self.known, self.strings
+        said = []
+        for i in ids:
+            if i not in known:
+                known[i] = self.spoken(strings[i])
+            said.append(known[i])
+        if not said:
             return ""
-        text, self.began = (" " + text if self.began else text), True
-        return text
+        data = self.between.join(said)
+        data, self.began = (self.between + data if self.began else data), True
+        return self.machine.decode(data)
+
+    def end(self) -> str:
+        """What is left, and back to the start."""
+        self.began = False
+        return self.machine.decode(b"", True)
 
 
 def decoded_bytes(strings: list[str], ids: Iterable[int], end: str = "</w>") -> Iterator[str]:
-    """The UTF-8 text of the ids, in pieces; a broken sequence becomes U+FFFD."""
+    """The UTF-8 text of the ids, in pieces."""
     back = {c: b for b, c in enumerate(spelling())}
-    machine = codecs.getincrementaldecoder("utf-8")("replace")
-    for i in ids:
-        token = strings[i]
+
+    def spoken(token: str) -> bytes:
         body = token.removesuffix(end)
-        yield machine.decode(bytes(back.get(c, 63) for c in body)) + (" " if body != token else "")
-    yield machine.decode(b"", True)
+        return bytes(back.get(c, 63) for c in body) + (b" " if body != token else b"")
+
+    machine = Decoder(strings, spoken, b"")
+    for i in ids:
+        yield machine.feed([i])
+    yield machine.end()
 
 
 _ready: dict[str, Transducer] = {}
@@ -317,7 +375,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             rows = [machine.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], [id_col, "ids"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, ids array<int>")
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` long, ids array<int>")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,13 +383,19 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
+        decoder = Decoder(machine.strings)
         for batch in batches:
             n, a, b = [], [], []
             for t in batch.column(1):
-                ids = machine.encode(t.as_py() or "")
-                n.append(len(ids))
-                a.append(hashlib.sha256(_numbered(ids)).hexdigest())
-                b.append(hashlib.sha256(Decoder(machine.strings).feed(ids).encode()).hexdigest())
+                count, numbers, text = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in machine.pieces(t.as_py() or ""):
+                    count += len(ids)
+                    numbers.update(_numbered(ids))
+                    text.update(decoder.feed(ids).encode())
+                text.update(decoder.end().encode())
+                n.append(count)
+                a.append(numbers.hexdigest())
+                b.append(text.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
