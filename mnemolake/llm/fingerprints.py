@@ -2,22 +2,25 @@
 
 The lexicon holds the terms (words, A-Z lower-cased, ASCII punctuation stripped at both ends)
 whose share of documents lies between LEAST_SHARE and MOST_SHARE: a band of idf = -ln(share).
-Since a document has on average T distinct terms, at most T / LEAST_SHARE terms can reach the
-lower share, however many documents there are; that proven bound (checked against MOST_TERMS)
-is why the lexicon may be sent to every task. Document frequencies are counted over all
-documents, summed per task before the shuffle.
-
-A fingerprint has one part for each subset: a subset keeps a term by a hash of (subset, term), at
-RATES[subset % len(RATES)]; the part hashes the document's kept terms in sorted order, and is
-`-` if none is kept. Small subsets meet few of a document's terms and survive edits, large
-ones tell documents apart. `likeness` is the share of equal parts among those that either
-has; without such parts it is 1 for equal texts and else 0.
-
-Equal texts have equal fingerprints. Null counts as the empty text. The next document is that of
-the next higher (doc_id, text), after the last the first; null ids come first; of rows with
-equal id and text either may be first, which gives the same rows. The only document is its
-own next. Documents are range-partitioned by id and each range also gets the head of the next,
-so the neighbour is there without a global sort in one task.
+Document frequencies are counted over all documents, summed per task before the shuffle. Since a
+document has on average T distinct terms, at most T / LEAST_SHARE terms can reach the lower share, however
+many documents there are; that proven bound (8 bytes a term: 4 MB for texts of 1,000 distinct
+terms) is why the lexicon may be sent to every task.
+
+A fingerprint has one part for each subset of the lexicon. The last subset is the whole lexicon; each
+other keeps a term by a hash of (subset, term), at RATES[subset % len(RATES)]. A part is a hash of the sequence of the
+document's distinct terms that the subset keeps, sorted by their 64-bit hashes, and `-` if none is kept.
+Small subsets meet few of a document's terms and survive edits, large ones tell documents apart. `likeness` is
+the share of equal parts among those that either has; without such parts it is 1 for equal
+texts and else 0.
+
+Equal texts have equal fingerprints, repeated rows too. Null counts as the empty text; a text without a term of
+the lexicon has the fingerprint of dashes only. The next document is that of the next higher (doc_id, text), after
+the last the first; of rows with equal id and text either may be first, which gives the same rows. The
+only document is its own next, and so is a row without doc_id, which has no place in the order. Documents are
+range-partitioned by id and each range also gets the head of the next, so the neighbour is there without a
+global sort in one task. A very long text is read whole by one worker, with about a million
+characters of its neighbours. An empty table gives no rows; columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.base import U64, flat, lowered, mix, passes, span_hashes, word_spans
+from mnemolake.llm.base import U64, flat, lowered, mix, partitions, passes, span_hashes, word_spans
 
 LEAST_SHARE, MOST_SHARE = 2e-3, 0.2
-SUBSETS, RATES = 24, (1 / 192, 1 / 96, 1 / 48, 1 / 24)
-MOST_TERMS = 4_000_000
+SUBSETS, RATES = 25, (1 / 192, 1 / 96, 1 / 48, 1 / 24)
 _MARK = np.zeros(256, bool)
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _SALTS = mix(np.arange(1, SUBSETS + 1, dtype=U64))
@@ -94,34 +97,37 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST_SHARE,
             u, n = summed()
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["term", "n"])
 
-    light = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    light = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     total = light.select(F.count(F.lit(1))).first()[0]
     counted = light.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where((F.col("n") >= max(2, least * total)) & (F.col("n") <= most * total))
-    found = counted.select("term").limit(MOST_TERMS + 1).toArrow()["term"].to_numpy()
-    if len(found) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} terms in the band: raise the least share")
-    return np.sort(found.view(U64))
+    return np.sort(counted.select("term").toArrow()["term"].to_numpy().view(U64))
+
+
+def subset_keeps(s: int, h: np.ndarray) -> np.ndarray:
+    """Which terms a subset keeps."""
+    if s == SUBSETS - 1:
+        return np.ones(len(h), bool)
+    return mix(h ^ _SALTS[s]) < U64(int(RATES[s % len(RATES)] * 2**64))
 
 
 def parts(h: np.ndarray, row: np.ndarray, rows: int, band: np.ndarray) -> np.ndarray:
-    """(rows, SUBSETS) hashes; 0 where a subset keeps no term."""
-    if len(band):
-        at = np.minimum(np.searchsorted(band, h), len(band) - 1)
-        use = band[at] == h
-        h, row = h[use], row[use]
-    else:
-        h, row = h[:0], row[:0]
+    """(rows, SUBSETS) hashes of the terms kept, in their order; 0 where a subset keeps none. h is sorted within each row."""
     out = np.zeros((rows, SUBSETS), U64)
+    if not len(band) or not len(h):
+        return out
+    use = band[np.minimum(np.searchsorted(band, h), len(band) - 1)] == h
+    h, row = h[use], row[use]
     for s in range(SUBSETS):
-        draw = mix(h ^ _SALTS[s])
-        use = draw < U64(int(RATES[s % len(RATES)] * 2**64))
-        with np.errstate(over="ignore"):  # terms are distinct and sorted within a row: a sum of mixed hashes stands for the sequence
-            np.add.at(out[:, s], row[use], mix(draw[use]) | U64(1))
+        use = subset_keeps(s, h)
+        kept, of = memoryview(h[use].tobytes()), row[use]
+        cut = np.flatnonzero(np.diff(of, prepend=-1))
+        ends = [*(8 * cut[1:]).tolist(), len(kept)]
+        out[of[cut], s] = [xxhash.xxh3_64_intdigest(kept[a:b]) or 1 for a, b in zip((8 * cut).tolist(), ends, strict=False)]
     return out
 
 
 def spelt(part: np.ndarray) -> str:
-    return ".".join(f"{int(x) >> 32:08x}" if x else "-" for x in part)
+    return ".".join(f"{int(x):016x}" if x else "-" for x in part)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, same: bool = False) -> float:
@@ -142,41 +148,25 @@ def _fingerprints(texts: list[str], band: np.ndarray) -> np.ndarray:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(place, extra, doc_id, text), ranged: sorted within each place; rows with extra = 1 are the heads of the place after."""
-    spark = docs.sparkSession
-    light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.array(sorted({int(x) for x in light.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else [], np.int64)
-
-    def place(ids: pa.Array) -> np.ndarray:
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(cuts, ids.fill_null(0).to_numpy(), "right")).astype(np.int32)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, tuple[bool, int]] = {}
-        for batch in batches:
-            for k, i in zip(place(batch.column(0)).tolist(), batch.column(0).to_pylist(), strict=True):
-                least[k] = min(least.get(k, (True, 2**63)), (i is not None, i or 0))
-        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array([x[0] for x in least.values()], pa.bool_()), pa.array([x[1] for x in least.values()], pa.int64())], ["place", "known", "head"])
-
+    """(place, extra, doc_id, text), ranged: sorted within each place; rows with extra = 1 are the heads of the place after, with 2 those without an id."""
+    light = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    n = partitions(docs.sparkSession)
+    cuts = sorted({int(x) for x in light.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
+    # the number of cuts up to the id, by halving
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))]) if cuts else F.array().cast("array<int>")
+    edges = F.array(*[F.lit(c).cast("long") for c in cuts])
+    rank = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at)) if cuts else F.lit(0)
+    place = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")).otherwise(rank)
     # one row a place: as many as there are partitions
-    heads = sorted((r.place, r.head.known, r.head.head) for r in light.select("doc_id").mapInArrow(first, "place int, known boolean, head long").groupBy("place").agg(F.min(F.struct("known", "head")).alias("head")).collect())
-    before = {(known, head if known else 0): heads[k - 1][0] for k, (_, known, head) in enumerate(heads)}
-    known_heads = np.array([h for known, h in before if known], np.int64)
-    names = ["place", "extra", "doc_id", "text"]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, text = batch.columns
-            yield pa.RecordBatch.from_arrays([pa.array(place(ids)), pa.array(np.zeros(len(ids), np.int32)), ids, text], names)
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            copy = np.where(null, (False, 0) in before, np.isin(ids.fill_null(0).to_numpy(), known_heads))
-            if copy.any():  # the head of a place, for the place before it
-                few, words = ids.filter(pa.array(copy)), text.filter(pa.array(copy))
-                to = [before[i is not None, i or 0] for i in few.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.ones(len(to), np.int32)), few, words], names)
-
-    placed = light.mapInArrow(deal, "place int, extra int, doc_id long, text string")
-    return placed.repartition(n, "place").sortWithinPartitions("place", "extra", F.col("doc_id").asc_nulls_first(), "text")
+    heads = dict(light.where("doc_id IS NOT NULL").select(rank.alias("place"), "doc_id").groupBy("place").agg(F.min("doc_id")).collect())
+    some = sorted(heads)
+    before = {p: some[k - 1] for k, p in enumerate(some)}
+    listed = lambda d, t: F.array(*[F.lit(d.get(p)).cast(t) for p in range(n)])
+    own = F.struct(place.alias("place"), F.when(F.col("doc_id").isNull(), 2).otherwise(0).alias("extra"))
+    copy = F.struct(F.get(listed(before, "int"), rank).alias("place"), F.lit(1).alias("extra"))
+    is_head = F.get(listed(heads, "long"), rank) == F.col("doc_id")
+    rows = light.select("doc_id", "text", F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own))).alias("at"))
+    return rows.select("at.place", "at.extra", "doc_id", "text").repartitionById(n, F.col("place")).sortWithinPartitions("place", "extra", "doc_id", "text")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
@@ -202,8 +192,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         for block in rows(batches):
             whole = ([last] if last else []) + block
             own = _fingerprints([r[3] for r in whole], band)
-            pairs = [i for i in range(len(whole) - 1) if not whole[i][1] and whole[i][0] == whole[i + 1][0]]
-            changed = [edited(whole[i][3], whole[i + 1][3]) for i in pairs]
+            # (row, its next): a row without an id is its own; one that was the last of its block waits
+            pairs = [i for i in range(len(whole) - 1) if not whole[i][1] and whole[i][0] == whole[i + 1][0] and whole[i + 1][1] < 2]
+            after = {i: i + 1 for i in pairs} | {i: i for i in range(1 if last else 0, len(whole)) if whole[i][1] == 2}
+            pairs = list(after)
+            changed = [edited(whole[i][3], whole[j][3]) for i, j in after.items()]
             new = _fingerprints(changed, band)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -213,7 +206,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
                     pa.array([spelt(own[i]) for i in pairs], pa.string()),
                     pa.array([spelt(x) for x in new], pa.string()),
                     pa.array([likeness(own[i], x, whole[i][3] == t) for i, x, t in zip(pairs, new, changed, strict=True)], pa.float64()),
-                    pa.array([likeness(own[i], own[i + 1], whole[i][3] == whole[i + 1][3]) for i in pairs], pa.float64()),
+                    pa.array([likeness(own[i], own[j], whole[i][3] == whole[j][3]) for i, j in after.items()], pa.float64()),
                 ],
                 names,
             )
