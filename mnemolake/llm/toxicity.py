@@ -9,11 +9,13 @@ thresholds to the margins that come of it: a toxic text of good quality is no ev
 its words. The cut of p_toxic from which a text counts as toxic is the one of best F1 over labelled
 rows, each scored by a model that was fitted without its fold.
 
-Fitting takes a bounded sample of labelled rows (SAMPLE, those of the smallest hashed ids), so
-the driver holds at most SAMPLE feature lists; scoring covers every document and ships only
-the weights, whose size is fixed by BITS. Labels without a grade or document are not used;
-a document with two labels counts with each. Null and empty texts have no features and get the
-grade that the thresholds alone give. Rows are scored each for itself, repeated or not.
+Fitting takes a bounded sample of labelled rows (SAMPLE, those of the smallest hashed ids; ties by id, then
+grade), so the driver holds at most SAMPLE feature lists of at most 2**BITS places; scoring covers every document
+and ships only the weights, whose size is fixed by BITS. Labels without a grade or document are not used;
+a document with two labels counts with each, and so do repeated documents. Without any usable label, from an
+empty table or one of nulls, no weight is set and nothing counts as toxic. Null and empty texts have no features and get the
+grade that the thresholds alone give. Rows are scored each for itself, repeated or not, very long ones whole;
+an empty table gives no rows. Columns besides id, text and the labels' three are not read.
 """
 
 from __future__ import annotations
@@ -78,7 +80,7 @@ def telling(place: np.ndarray, positive: np.ndarray, toxic: int, texts: int, siz
 
 def fitted(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, grades_n: int = GRADES, penalty: float = 5e-4, rounds: int = 200, rate: float = 0.2) -> Model:
     """Full-batch Adam, the weights and the first threshold on P(grade >= 1), each later one on its own likelihood; the rarer grades weighted up. Features without EVIDENCE stay at 0, so the weights are sparse."""
-    counts = np.array([len(x) for x in rows])
+    counts = np.array([len(x) for x in rows], np.int64)
     place = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), counts)
     use = telling(place, grades[row] > 0, int((grades > 0).sum()), max(len(rows), 1), 1 << bits)[place]
@@ -132,7 +134,7 @@ def calibrated(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, fol
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and grades of at most `sample` labelled rows."""
     toxic = F.col("toxic") > 0
-    grade = F.when(~toxic, 0).when(F.coalesce(F.col("quality"), F.lit(1)) > 0, 1).otherwise(2)
+    grade = F.when(toxic.isNull(), None).when(~toxic, 0).when(F.coalesce(F.col("quality"), F.lit(1)) > 0, 1).otherwise(2)
     few = labels.select(F.col("doc_id").cast("long").alias("__doc"), grade.alias("__grade")).where("__doc IS NOT NULL AND __grade IS NOT NULL").orderBy(F.xxhash64("__doc"), "__doc", "__grade").limit(sample)
     joined = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(few), F.col("__id") == F.col("__doc"))  # bounded by `sample`
 
@@ -159,4 +161,4 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             grade = np.where(toxic, 1 + (p - np.concatenate([p[:, 1:], np.zeros((len(p), 1))], 1)).argmax(1), 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p[:, 0]), pa.array(p[:, -1]), pa.array(p.sum(1)), pa.array(grade.astype(np.int32)), pa.array(toxic)], [id_col, "p_toxic", "p_severe", "expected_severity", "grade", "toxic"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, p_toxic double, p_severe double, expected_severity double, grade int, toxic boolean")
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` long, p_toxic double, p_severe double, expected_severity double, grade int, toxic boolean")
