@@ -6,8 +6,9 @@ email, ip, card and phone give the leftmost non-overlapping spans of their publi
 (a span that fails validation is dropped and not retried), `account` adds IBANs that pass
 mod 97 and identifiers introduced by a cue word, `url` adds scheme addresses that carry
 credentials. Positions are code points, ends exclusive. Null and empty texts have no spans.
-Each row is read by itself, so ties, repeated rows and other columns don't matter. Time is
-linear in the text and memory constant: a parser never looks behind its kind's last end.
+Each row is read by itself, so ties, repeated rows, null ids and other columns don't matter; an
+empty table gives no rows. Time is linear in the text, however long, and memory constant but for
+the spans found: a parser never looks behind its kind's last end.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             base = [hashlib.sha256(said([x for x in s if x[0] in BASE]).encode()).hexdigest() for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array([said(s) for s in found], pa.string())], [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:

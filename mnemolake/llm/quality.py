@@ -2,7 +2,8 @@
 
 Words are `[^\\x20\\x09-\\x0D]+`. Null and empty texts have no words and fail. Repeated rows
 are judged alike, each for itself; ties cannot arise, since no row is compared with another.
-Columns besides id and text are not read; the filter keeps them all.
+Columns besides id and text are not read; the filter keeps them all, whatever their names. A very
+long text is measured whole, in one row's memory. An empty table gives no rows.
 
 A word is *repeated* when a window of five words that holds it occurs twice or more in the
 text. Whether four words in a row may repeat is first asked of hashes, which can only say yes
