@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written and read back before the
 next. All but the last return the columns of documents; the last returns a row for each
 packed piece. Columns that documents has beyond the known ones pass through.
+
+Nulls: a null text fails the quality rules. A row without doc_id is deduplicated with nothing, by line
+or text, and packed as any. Empty texts that line dedup leaves are packed without a bin. Repeated rows
+are cut alike, and stay or go together in near_dedup. Ties: of equals the least doc_id stays in near_dedup, the largest keeps
+its line in line_dedup. Very long texts are read whole and cut only by packing. An empty table gives no rows.
 """
 
 from __future__ import annotations
