@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mnemolake.llm import anchors
-from mnemolake.llm.base import U64, flat, packed, passes, plain_words, sequence_windows, span_hashes, unpacked, word_spans
+from mnemolake.llm.base import U64, flat, mix, packed, passes, plain_words, sequence_windows, span_hashes, unpacked, word_spans
 
 WINDOW = 35
 BLOCK = (WINDOW + 1) // 2
@@ -123,7 +123,7 @@ def _stretches(docs: pa.Table, flags: pa.Table) -> pa.Table:
             words = plain_words(data[at[d] : at[d + 1]].tobytes())
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(p)], strict=True):
                 texts.append(b" ".join(words[p[a] : p[b - 1] + WINDOW]))
-            keys.append(h[anchor[cut]].view(I64))
+            keys.append(mix(h[anchor[cut]]).view(I64))  # least hashes lie close together: mixed, they fill all buckets alike
             leads.append(anchor[cut] - whole[cut])
             counts.append(np.diff(np.append(cut, len(p))))
             owners.append(np.full(len(cut), uids[d]))
