@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from mnemolake.llm import anchors
-from mnemolake.llm.base import U64, byte_windows, flat, packed, passes, unpacked
+from mnemolake.llm.base import U64, byte_windows, flat, mix, packed, passes, unpacked
 
 LENGTH, KEY = 200, 24
 #: Keys in a string of LENGTH bytes, and the most bytes that it can have before an anchor.
@@ -89,7 +89,8 @@ def _anchored(buckets: int, bits: int):
                 off = at[i : j + 1] - at[i]
                 p, h = anchor_places(data[at[i] : at[j]], off)
                 row = np.searchsorted(off, p, "right") - 1
-                yield h, groups[i:j][row], uids[i:j][row], p - off[row], np.zeros(0, U64)
+                # least hashes lie close together: mixed, they fill all buckets alike
+                yield mix(h), groups[i:j][row], uids[i:j][row], p - off[row], np.zeros(0, U64)
 
     return lambda batches: anchors.flushes(parts(batches), buckets, bits)
 
