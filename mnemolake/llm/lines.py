@@ -70,7 +70,7 @@ def _reassembled(text: bytes, drop: bytes | None, least_chars: int) -> tuple[byt
 
 def drops(docs: DataFrame, id_col: str, text_col: str, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(doc, drop): for each document that loses lines, the hashes of their keys end to end."""
-    light = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc IS NOT NULL")
+    light = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where("doc IS NOT NULL")
     lines = light.mapInArrow(_exploded(least_chars), "h1 long, h2 long, doc long")
     shared = lines.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("doc").alias("last")).where(F.col("n") >= least_docs)
     hit = spread_join(lines, checkpointed(shared.select("h1", "h2", "rows", "last")), ["h1", "h2"], "rows", "doc").where("doc != last")
@@ -80,7 +80,8 @@ def drops(docs: DataFrame, id_col: str, text_col: str, least_chars: int = LEAST_
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, least_chars: int, least_docs: int) -> DataFrame:
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    """Each row, whole, with the hashes of the lines that it loses (null: none). The text travels once, inside the row."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_col}`").cast("long").alias("__id"))
     gone = drops(docs, id_col, text_col, least_chars, least_docs).select(F.col("doc").alias("__doc"), F.col("drop").alias("__drop"))
     return row.join(gone, F.col("__id") == F.col("__doc"), "left")
 
@@ -97,7 +98,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
                 [id_col, "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    joined = _joined(docs.select(id_col, text_col), id_col, text_col, least_chars, least_docs).select("__id", "__text", "__drop")
+    light = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    joined = _joined(light, "doc_id", "text", least_chars, least_docs).select("__id", F.coalesce(F.col("__row")["text"], F.lit("")).alias("__text"), "__drop")
     return joined.mapInArrow(run, f"`{id_col}` long, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -106,8 +108,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, drop: pd.Series) -> pd.Series:
-        return pd.Series([_reassembled(t.encode(), d, least_chars)[0].decode() for t, d in zip(text, drop, strict=True)])
+        return pd.Series([None if d is None else _reassembled(t.encode(), d, least_chars)[0].decode() for t, d in zip(text, drop, strict=True)], dtype=object)
 
-    row = F.col("__row")
-    new = F.when(F.col("__drop").isNotNull(), cut(F.col("__text"), F.col("__drop"))).otherwise(row[text_col])
+    row, drop = F.col("__row"), F.col("__drop")
+    # only texts that lose lines go through Python
+    new = F.coalesce(cut(F.when(drop.isNotNull(), row[text_col]), drop), row[text_col])
     return _joined(docs, id_col, text_col, least_chars, least_docs).select(*[(new if c == text_col else row[c]).alias(c) for c in docs.columns])
