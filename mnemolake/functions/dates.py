@@ -21,6 +21,7 @@ DATE_PATTERNS = [
     rf"(?i)\b(?:{_M})\s+\d{{1,2}}(?:,?\s*\d{{4}})?\b",
     rf"(?i)\b\d{{1,2}}\s+(?:{_M})(?:\s+\d{{4}})?\b",
 ]
+# What introduces the start or end of a validity window, and how far before the date it is looked for.
 FROM_MARKERS = r"(?i)\b(?:from|since|starting|as of|effective|beginning)\s*(?:on|in)?\s*$"
 UNTIL_MARKERS = r"(?i)\b(?:until|till|through|up to|ending)\s*(?:on|in)?\s*$"
 LOOK_BEHIND = 24
@@ -54,7 +55,8 @@ def mentions(text: Column, now: Column) -> Column:
     found = []
     for p in DATE_PATTERNS:
         surface = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda x: F.lower(x)))
-        found.append(F.transform(surface, lambda x: F.struct(x.alias("original"), F.instr(F.lower(text), x).alias("start"), resolved(x, now).alias("day"))))
+        # where the form stands by itself: not inside a longer number or word
+        found.append(F.transform(surface, lambda x: F.struct(x.alias("original"), F.regexp_instr(F.lower(text), F.concat(F.lit(r"\b\Q"), x, F.lit(r"\E\b"))).alias("start"), resolved(x, now).alias("day"))))
     return F.filter(F.flatten(F.array(*found)), lambda x: x["day"].isNotNull())
 
 

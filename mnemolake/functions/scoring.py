@@ -16,19 +16,8 @@ def recency(then: Column, now: Column, s: Settings = DEFAULTS) -> Column:
     return F.pow(1 + s.beta * age_hours(then, now), F.lit(-s.alpha))
 
 
-def p90(counts: Column) -> Column:
-    """An aggregate: the element at floor(0.9 n) of the sorted counts, 1 at least (not percentile_disc).
-
-    Exact and mergeable: counts are first tallied by value, so its state is as large as the number of
-    distinct counts, not of rows; see `p90_of`.
-    """
-    n = F.count(counts)
-    at = F.least(F.floor(n * F.lit(0.9)).cast("int"), n.cast("int") - 1) + 1
-    return F.greatest(F.coalesce(F.get(F.array_sort(F.collect_list(counts)), at - 1), F.lit(1)).cast("double"), F.lit(1.0))
-
-
 def p90_of(df, counts: str):  # noqa: ANN001, ANN201
-    """One row (p90): the same from a histogram of values, for tables of any length."""
+    """One row (p90): the element at floor(0.9 n) of the sorted counts, 1 at least (not percentile_disc), from a histogram of values, for tables of any length."""
     tally = df.where(F.col(counts).isNotNull()).groupBy(F.col(counts).alias("value")).agg(F.count(F.lit(1)).alias("k"))
     total = tally.agg(F.sum("k").alias("n"), F.array_sort(F.collect_list(F.struct("value", "k"))).alias("h"))
     place = F.least(F.floor(F.col("n") * F.lit(0.9)), F.col("n") - 1)

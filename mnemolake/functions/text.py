@@ -1,7 +1,13 @@
-"""String functions as Column expressions: tokens, three normalisers, patterns, slot keys."""
+"""String functions as Column expressions: tokens, three normalisers, patterns, slot keys.
+
+White space, letters and word borders are Unicode's throughout: a pattern's `\\s`, `\\w` and leading `\\b`
+are written out as classes by `spark_pattern` (and by `re2_pattern`, for engines without look-behind).
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +52,7 @@ PATTERNS: dict[str, list[str]] = {
 }
 CONFIDENCE = {"correction": 0.9, "fact": 0.8, "preference": 0.75, "outcome": 0.65}
 NODE_TYPE = {"correction": "semantic", "fact": "semantic", "preference": "procedural", "outcome": "episodic"}
+# Prefixes, slot patterns and corporate suffixes.
 CORRECTION_PREFIX = r"(?i)^(?:actually|correction|i meant|no[,:]?\s+(?:it(?:'s| is)|that(?:'s| is))|that(?:'s| is)\s+(?:wrong|incorrect|not right))\s*[,:\-]?\s*"
 LIVE_IN = r"(?i)^i (?:live|am based|'m based) in\s+(.+)$"
 WORK_AT = r"(?i)^i work (?:at|for)\s+(.+)$"
@@ -58,8 +65,31 @@ SUFFIXES = "inc incorporated ltd limited llc plc corp corporation co company hol
 DOMAIN = r"^(?:https?://)?(?:www\.)?([a-z0-9-]+)(?:\.[a-z0-9-]+)+(?:/.*)?$"
 
 
+#: The insides of character classes: white space, and what words are made of.
+SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WORD = r"\p{L}\p{N}_"
+EDGES = rf"^[{SPACE}]+|[{SPACE}]+$"
+
+
+def _classes(pattern: str) -> str:
+    out = re.sub(r"\[([^\]\\]*)\\s([^\]]*)\]", lambda m: f"[{m[1]}{SPACE}{m[2]}]", pattern)
+    return out.replace(r"\s", f"[{SPACE}]").replace(r"\w", f"[{WORD}]")
+
+
+def spark_pattern(pattern: str) -> str:
+    """The pattern for Spark, where a dot is any character and case is ignored."""
+    body = pattern.removeprefix("(?i)")
+    return "(?isu)" + _classes(f"(?<![{WORD}])" + body[2:] if body.startswith(r"\b") else body)
+
+
+def re2_pattern(pattern: str) -> str:
+    """The same for RE2, with the match in group 1."""
+    body = pattern.removeprefix("(?i)")
+    return "(?is)" + _classes(f"(?:^|[^{WORD}])({body[2:]})" if body.startswith(r"\b") else f"({body})")
+
+
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, EDGES, "")
 
 
 def tokens(c: Column) -> Column:
@@ -69,16 +99,16 @@ def tokens(c: Column) -> Column:
 
 def normalized(c: Column) -> Column:
     """For statements: lower case, single spaces, no punctuation at the edges."""
-    return F.regexp_replace(F.regexp_replace(stripped(F.lower(c)), r"\s+", " "), r"^[\s,.:;!?-]+|[\s,.:;!?-]+$", "")
+    return F.regexp_replace(F.regexp_replace(stripped(F.lower(c)), f"[{SPACE}]+", " "), f"^[{SPACE},.:;!?-]+|[{SPACE},.:;!?-]+$", "")
 
 
 def folded(c: Column) -> Column:
     """For exact deletion: lower case and single spaces only."""
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), f"[{SPACE}]+", " "))
 
 
 def without_correction(c: Column) -> Column:
-    return stripped(F.regexp_replace(c, CORRECTION_PREFIX, ""))
+    return stripped(F.regexp_replace(c, spark_pattern(CORRECTION_PREFIX), ""))
 
 
 def is_correction(c: Column) -> Column:
@@ -96,14 +126,15 @@ def head_token(c: Column) -> Column:
 def canonical_key(content: Column) -> Column:
     """The slot a statement fills, or null: live-in, work-at, prefer, policy, then `subject is`."""
     s = statement_key(content)
-    prefer, verb, thing, left = F.regexp_extract(s, PREFER, 1), F.regexp_extract(s, POLICY, 1), F.regexp_extract(s, POLICY, 2), normalized(F.regexp_extract(s, IS_SLOT, 1))
+    live, work, like, rule, slot = map(spark_pattern, (LIVE_IN, WORK_AT, PREFER, POLICY, IS_SLOT))
+    prefer, verb, thing, left = F.regexp_extract(s, like, 1), F.regexp_extract(s, rule, 1), F.regexp_extract(s, rule, 2), normalized(F.regexp_extract(s, slot, 1))
     return (
         F.when(s == "", None)
-        .when(s.rlike(LIVE_IN), "fact:i live in")
-        .when(s.rlike(WORK_AT), "fact:i work at")
-        .when(s.rlike(PREFER), F.concat(F.lit("preference:"), head_token(prefer)))
-        .when(s.rlike(POLICY), F.concat(F.lit("policy:"), F.lower(verb), F.lit(":"), head_token(thing)))
-        .when(s.rlike(IS_SLOT) & (left != "") & (F.size(F.split(left, r"\s+")) <= SUBJECT_WORDS), F.concat(F.lit("fact:"), left))
+        .when(s.rlike(live), "fact:i live in")
+        .when(s.rlike(work), "fact:i work at")
+        .when(s.rlike(like), F.concat(F.lit("preference:"), head_token(prefer)))
+        .when(s.rlike(rule), F.concat(F.lit("policy:"), F.lower(verb), F.lit(":"), head_token(thing)))
+        .when(s.rlike(slot) & (left != "") & (F.size(F.split(left, r"\s+")) <= SUBJECT_WORDS), F.concat(F.lit("fact:"), left))
     )
 
 
@@ -120,7 +151,7 @@ def matches(content: Column) -> Column:
     """array<struct<type, content>>: of each category, the first listed pattern's match."""
     found = []
     for kind, patterns in PATTERNS.items():
-        hits = [F.when(content.rlike("(?is)" + p), stripped(F.regexp_extract(content, "(?is)" + p, 0))) for p in patterns]
+        hits = [F.when(content.rlike(p), stripped(F.regexp_extract(content, p, 0))) for p in map(spark_pattern, patterns)]
         found.append(F.struct(F.lit(kind).alias("type"), F.coalesce(*hits).alias("content")))
     return F.filter(F.array(*found), lambda x: x["content"].isNotNull())
 

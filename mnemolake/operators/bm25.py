@@ -1,8 +1,7 @@
 """BM25 over a table of texts, for a batch of queries at once.
 
-Postings carry (doc, term, tf, doc length); N counts documents without tokens too, repeated query
-terms count repeatedly. The join is an equi-join on the term of the (small) query side, so only
-postings of asked terms are shuffled on; skewed terms are left to AQE.
+N counts documents without tokens too, repeated query terms count repeatedly. The texts are read
+once for a batch; see `scores`. `postings`, `stats` and `idf` are the whole index as tables.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.config import DEFAULTS, Settings
+from mnemolake.durable import kept
 from mnemolake.functions.text import tokens
 
 
@@ -33,15 +33,30 @@ def idf(post: DataFrame, stat: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stat)).select("term", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stat has one row
 
 
+def hits(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, length, terms) of every document, by one pass: its length and, of the asked terms that it holds, how often. Written once, for all that is read from it."""
+    wanted = [r.term for r in asked.select("term").distinct().collect()]  # the terms of a batch of questions
+    each = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("tokens"))
+    some = each.select("doc", F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(wanted)).alias("some"))
+    counted = F.transform(F.array_distinct("some"), lambda t: F.struct(t.alias("term"), (F.size("some") - F.size(F.array_remove("some", t))).alias("tf")))
+    return kept(some.select("doc", "length", counted.alias("terms")))
+
+
 def scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, qid: str, qtext: str, s: Settings = DEFAULTS) -> DataFrame:
-    """(query, doc, score) of every pair with a score above 0."""
-    asked = queries.select(F.col(qid).alias("query"), F.explode(tokens(F.col(qtext))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
-    post, stat = postings(docs, id_col, text_col), stats(docs, id_col, text_col)
-    hit = post.join(asked.select("term").distinct(), "term", "left_semi")
-    weighed = hit.join(idf(hit, stat), "term").crossJoin(F.broadcast(stat.select("avgdl")))
-    length = F.when(F.col("avgdl") > 0, F.col("length") / F.col("avgdl")).otherwise(0.0)
-    part = F.col("idf") * (F.col("tf") * (s.k1 + 1)) / (F.col("tf") + s.k1 * (1 - s.b + s.b * length))
-    return weighed.select("term", "doc", part.alias("part")).join(asked, "term").groupBy("query", "doc").agg(F.sum(F.col("part") * F.col("times")).alias("score")).where("score > 0")
+    """(query, doc, score) of every pair with a score above 0.
+
+    A document is one row, so its counts need no shuffle; the terms asked for, with weights, are broadcast: they
+    are those of one batch of questions. Only scores are dealt, summed per task first.
+    """
+    asked = kept(queries.select(F.col(qid).alias("query"), F.explode(tokens(F.col(qtext))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times")))
+    held = hits(docs, asked, id_col, text_col)
+    n, total = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    post = held.select("doc", "length", F.explode_outer("terms").alias("t")).where("t IS NOT NULL").select("doc", "length", "t.term", "t.tf")
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = asked.join(df, "term").select("query", "term", (F.col("times") * F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"))
+    length = F.col("length") * n / total if total else F.lit(0.0)
+    part = F.col("weight") * (F.col("tf") * (s.k1 + 1)) / (F.col("tf") + s.k1 * (1 - s.b + s.b * length))
+    return post.join(F.broadcast(weighed), "term").groupBy("query", "doc").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

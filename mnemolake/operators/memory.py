@@ -70,7 +70,8 @@ def chained(nodes: DataFrame, part: list[str], order: list[str], id_col: str) ->
 
 def expanded(anchors: DataFrame, edges: DataFrame, decay: float) -> DataFrame:
     """(query, node, association): one-hop neighbours of a query's anchors, either direction, the strongest edge counts."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("node"), "weight").unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("node"), "weight"))
+    ways = F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("node")), F.struct(F.col("target").alias("a"), F.col("source").alias("node")))
+    both = edges.select(F.explode(ways).alias("w"), "weight").select("w.a", "w.node", "weight")
     reach = anchors.select("query", F.col("node").alias("a")).join(both, "a").groupBy("query", "node").agg(F.max(F.greatest("weight", F.lit(0.0)) * decay).alias("association")).where("association > 0")
     return reach.join(anchors.select("query", "node"), ["query", "node"], "left_anti")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.config import DEFAULTS, Settings
+from mnemolake.durable import kept
 from mnemolake.functions import dates, scoring, text
 from mnemolake.operators import bm25, memory, vectors
 
@@ -18,30 +19,36 @@ def eligible(as_of: Column | None, include_history: bool) -> Column:
     return F.lit(True) if include_history else F.col("status") == "active"
 
 
-def buffered(buffer: DataFrame, queries: DataFrame, as_of: Column | None = None, s: Settings = DEFAULTS) -> DataFrame:
-    """Entries that contain the whole query, newest first, without those that a later hit supersedes."""
+def buffered(buffer: DataFrame, queries: DataFrame, as_of: Column | None = None, s: Settings = DEFAULTS, include_history: bool = False) -> DataFrame:
+    """Entries that contain the whole query, newest first; without history, less those that a later hit of their session supersedes."""
     some = buffer.where(F.col("timestamp") <= as_of) if as_of is not None else buffer
     hit = some.join(F.broadcast(queries.select("query", "text")), F.contains(F.lower("content"), F.lower("text")))  # a batch of queries
-    hit = hit.withColumns({"key": text.canonical_key(F.col("content")), "fix": text.is_correction(F.col("content"))})
-    later = hit.select("query", F.col("source_msg").alias("m2"), F.col("key").alias("k2"), F.col("fix").alias("f2"))
-    beats = text.correction_supersedes(F.col("k2"), F.col("f2"), F.col("key"), F.col("m2") - F.col("source_msg"), s.correction_window)
-    live = hit.alias("a").join(later.alias("b"), (F.col("a.query") == F.col("b.query")) & (F.col("m2") > F.col("source_msg")) & beats, "left_anti")
-    return live.select("query", F.lit("").alias("node_id"), "content", (2.0 + F.col("source_msg") * 1e-4).alias("score"), F.lit("buffer").alias("source"), (-F.col("source_msg")).cast("long").alias("ordinal"))
+    if not include_history:
+        hit = hit.withColumns({"key": text.canonical_key(F.col("content")), "fix": text.is_correction(F.col("content"))})
+        hit = hit.withColumns({"family": text.key_family(F.col("key")), "kind": F.array_position(F.array(*map(F.lit, text.PATTERNS)), F.col("type"))})
+        again = F.lead(F.lit(True)).over(Window.partitionBy("query", "session_id", "key").orderBy("source_msg", "kind"))
+        near = Window.partitionBy("query", "session_id", "family").orderBy("source_msg").rangeBetween(1, s.correction_window)
+        fixed = F.col("family").isin(*text.IMPLICIT) & F.coalesce(F.max("fix").over(near), F.lit(False))
+        hit = hit.withColumn("beaten", F.col("key").isNotNull() & (F.coalesce(again, F.lit(False)) | F.coalesce(fixed, F.lit(False)))).where("NOT beaten")
+    return hit.select("query", F.lit("").alias("node_id"), "content", (2.0 + F.col("source_msg") * 1e-4).alias("score"), F.lit("buffer").alias("source"), (-F.col("source_msg")).cast("long").alias("ordinal"))
 
 
 def graph(nodes: DataFrame, edges: DataFrame, queries: DataFrame, now: Column, as_of: Column | None = None, include_history: bool = False, s: Settings = DEFAULTS, semantic: bool = True) -> DataFrame:
     """(query, node_id, content, score, ..., trace) of each query's k best nodes. queries: query, text, embedding."""
     hits = bm25.search(nodes, queries, "id", "content", "query", "text", 5 * s.k, s)  # over all nodes; eligibility comes after
-    lexical = bm25.anchors(hits, s.anchor_ratio).select("query", F.col("doc").alias("node"), "lexical")
-    every = lexical.select("query", "node")
+    # what several branches read is small, and written once: the hits of a question, its anchors, what they reach
+    best = Window.partitionBy("query")
+    lexical = kept(hits.select("query", F.col("doc").alias("node"), (F.col("score") / F.max("score").over(best)).alias("lexical")))
+    every = lexical.where(F.col("lexical") >= s.anchor_ratio).select("query", "node")
     if semantic:
         sims = vectors.similar(queries, nodes, "query", "id", "embedding", s.embed_threshold)
         every = every.union(sims.select("query", "node")).distinct()
     pool = nodes.where(eligible(as_of, include_history))
-    anchors = every.join(pool.select(F.col("id").alias("node")), "node", "left_semi").select("query", "node")
+    anchors = kept(every.join(pool.select(F.col("id").alias("node")), "node", "left_semi").select("query", "node"))
     reached = anchors.withColumn("association", F.lit(0.0))
     if s.neighbor_expansion:
         reached = reached.unionByName(memory.expanded(anchors, edges, s.neighbor_decay))
+    reached = kept(reached)
     p90 = scoring.p90_of(nodes, "access_count")
     sim = scoring.cosine(F.col("q_embedding"), F.col("embedding")) if semantic else F.lit(0.0)
     bonus = F.when(F.lit(as_of is not None) | (F.col("status") == "active"), 1.0).otherwise(0.0)

@@ -47,8 +47,8 @@ def similar(queries: DataFrame, vectors: DataFrame, qid: str, vid: str, vec: str
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
-    """For each query its most similar node; ties by node."""
-    return pairs.groupBy("query").agg(F.max_by(F.struct("node", "sim"), F.struct("sim", F.lit(0) - F.xxhash64("node"))).alias("b")).select("query", "b.node", "b.sim")
+    """For each query its most similar node; of equally similar ones the least."""
+    return pairs.groupBy("query").agg(F.min(F.struct((-F.col("sim")).alias("far"), "node")).alias("b")).select("query", "b.node", (-F.col("b.far")).alias("sim"))
 
 
 def mock_embedding(dim: int = 384) -> Column:

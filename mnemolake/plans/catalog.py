@@ -65,14 +65,14 @@ def _tokenize(t):  # noqa: ANN001, ANN202
     return d.select("doc_id", F.size("k").cast("long").alias("n_tokens"), F.array_join(F.slice("k", 1, 5), " ").alias("head"), F.size(F.array_distinct("k")).cast("long").alias("n_terms"))
 
 
-_NORM = r"regexp_replace(regexp_replace(regexp_replace(lower({}), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '^[\s,.:;!?-]+|[\s,.:;!?-]+$', '', 'g')"
+_NORM = f"regexp_replace(regexp_replace(regexp_replace(lower({{}}), '{text.EDGES}', '', 'g'), '[{text.SPACE}]+', ' ', 'g'), '^[{text.SPACE},.:;!?-]+|[{text.SPACE},.:;!?-]+$', '', 'g')"
 
 
 def norm_sql(c: str) -> str:
     return _NORM.replace("{}", c)
 
 
-@query("normalizers", f"SELECT conv_id, turn, {norm_sql('text')} AS statement_form, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS folded_form FROM conversations")
+@query("normalizers", f"SELECT conv_id, turn, {norm_sql('text')} AS statement_form, trim(regexp_replace(lower(text), '[{text.SPACE}]+', ' ', 'g')) AS folded_form FROM conversations")
 def _normalizers(t):  # noqa: ANN001, ANN202
     return t("conversations").select("conv_id", "turn", text.normalized(F.col("text")).alias("statement_form"), text.folded(F.col("text")).alias("folded_form"))
 
@@ -84,18 +84,18 @@ SAMPLES = [
     "That's wrong, my port is 8080", "It worked", "error: disk full", "I meant Berlin", "We prefer using Kafka",
 ]
 _VALUES = "(VALUES " + ", ".join(f"({i}, '{q(x)}')" for i, x in enumerate(SAMPLES)) + ") v(id, content)"
-_STRIP = f"regexp_replace(regexp_replace({norm_sql('content')}, '{q(text.CORRECTION_PREFIX)}', ''), '^\\s+|\\s+$', '', 'g')"
+_STRIP = f"regexp_replace(regexp_replace({norm_sql('content')}, '{q(text.re2_pattern(text.CORRECTION_PREFIX))}', ''), '{text.EDGES}', '', 'g')"
 _STATEMENT = norm_sql(_STRIP)
 
 
 @query(
     "canonical_keys",
     f"""WITH s AS (SELECT id, {_STATEMENT} AS s FROM {_VALUES}),
-    e AS (SELECT id, s, {norm_sql(f"regexp_extract(s, '{q(text.IS_SLOT)}', 1)")} AS l FROM s),
-    k AS (SELECT id, s, CASE WHEN s = '' THEN NULL WHEN regexp_matches(s, '{q(text.LIVE_IN)}') THEN 'fact:i live in' WHEN regexp_matches(s, '{q(text.WORK_AT)}') THEN 'fact:i work at'
-      WHEN regexp_matches(s, '{q(text.PREFER)}') THEN 'preference:' || ({tok(f"regexp_extract(s, '{q(text.PREFER)}', 1)")})[1]
-      WHEN regexp_matches(s, '{q(text.POLICY)}') THEN 'policy:' || regexp_extract(s, '{q(text.POLICY)}', 1) || ':' || ({tok(f"regexp_extract(s, '{q(text.POLICY)}', 2)")})[1]
-      WHEN regexp_matches(s, '{q(text.IS_SLOT)}') AND l <> '' AND len(string_split(l, ' ')) <= 8 THEN 'fact:' || l END AS key FROM e)
+    e AS (SELECT id, s, {norm_sql(f"regexp_extract(s, '{q(text.re2_pattern(text.IS_SLOT))}', 2)")} AS l FROM s),
+    k AS (SELECT id, s, CASE WHEN s = '' THEN NULL WHEN regexp_matches(s, '{q(text.re2_pattern(text.LIVE_IN))}') THEN 'fact:i live in' WHEN regexp_matches(s, '{q(text.re2_pattern(text.WORK_AT))}') THEN 'fact:i work at'
+      WHEN regexp_matches(s, '{q(text.re2_pattern(text.PREFER))}') THEN 'preference:' || ({tok(f"regexp_extract(s, '{q(text.re2_pattern(text.PREFER))}', 2)")})[1]
+      WHEN regexp_matches(s, '{q(text.re2_pattern(text.POLICY))}') THEN 'policy:' || regexp_extract(s, '{q(text.re2_pattern(text.POLICY))}', 2) || ':' || ({tok(f"regexp_extract(s, '{q(text.re2_pattern(text.POLICY))}', 3)")})[1]
+      WHEN regexp_matches(s, '{q(text.re2_pattern(text.IS_SLOT))}') AND l <> '' AND len(string_split(l, ' ')) <= 8 THEN 'fact:' || l END AS key FROM e)
     SELECT id::BIGINT AS id, s AS statement, key AS slot, CASE WHEN contains(key, ':') THEN split_part(key, ':', 1) END AS family FROM k""",
 )
 def _canonical(t):  # noqa: ANN001, ANN202
@@ -106,7 +106,7 @@ def _canonical(t):  # noqa: ANN001, ANN202
 
 
 def match_sql(kind: str, c: str) -> str:
-    cases = " ".join(f"WHEN regexp_matches({c}, '(?is){q(p)}') THEN regexp_replace(regexp_extract({c}, '(?is){q(p)}', 0), '^\\s+|\\s+$', '', 'g')" for p in text.PATTERNS[kind])
+    cases = " ".join(f"WHEN regexp_matches({c}, '{q(p)}') THEN regexp_replace(regexp_extract({c}, '{q(p)}', 1), '{text.EDGES}', '', 'g')" for p in map(text.re2_pattern, text.PATTERNS[kind]))
     return f"CASE {cases} END"
 
 
@@ -390,10 +390,10 @@ def _hybrid(t):  # noqa: ANN001, ANN202
 @query(
     "hybrid_ranking_full",
     f"""WITH {_SCORED}, b AS (SELECT item_id, max(score) AS best FROM rk WHERE rank <= 50 GROUP BY item_id),
-    lx AS (SELECT item_id, doc, score / best AS lex FROM rk JOIN b USING (item_id) WHERE rank <= 50 AND score / best >= 0.5),
+    lx AS (SELECT item_id, doc, score / best AS lex FROM rk JOIN b USING (item_id) WHERE rank <= 50),
     v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
     sm AS (SELECT item_id, y.vec_id AS doc, list_cosine_similarity(x.v, y.v) AS sem FROM benchmark JOIN v x ON x.vec_id = item_id CROSS JOIN v y),
-    a AS (SELECT item_id, doc FROM lx UNION SELECT item_id, doc FROM sm JOIN documents ON doc_id = doc WHERE sem >= 0.3),
+    a AS (SELECT item_id, doc FROM lx WHERE lex >= 0.5 UNION SELECT item_id, doc FROM sm JOIN documents ON doc_id = doc WHERE sem >= 0.3),
     e AS (SELECT lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS x, doc_id AS y FROM documents QUALIFY x IS NOT NULL),
     u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
     h AS (SELECT DISTINCT item_id, y AS doc FROM a JOIN u ON x = doc), g AS (SELECT *, 0.0 AS assoc FROM a UNION ALL SELECT *, 0.6 FROM h ANTI JOIN a USING (item_id, doc)),
@@ -453,7 +453,7 @@ def _substring(t):  # noqa: ANN001, ANN202
     return t("documents").where(F.contains(F.lower("text"), F.lower(F.lit("License")))).select("doc_id", "lang")
 
 
-@query("deleted_messages", "SELECT conv_id::VARCHAR AS session_id, turn::INT AS message_index FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.turn = 0 AND d.conv_id % 5 = 0 AND trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(c.text), '\\s+', ' ', 'g')))")
+@query("deleted_messages", f"SELECT conv_id::VARCHAR AS session_id, turn::INT AS message_index FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.turn = 0 AND d.conv_id % 5 = 0 AND trim(regexp_replace(lower(d.text), '[{text.SPACE}]+', ' ', 'g')) = trim(regexp_replace(lower(c.text), '[{text.SPACE}]+', ' ', 'g')))")
 def _deleted(t):  # noqa: ANN001, ANN202
     from mnemolake.operators.deletion import rows_without
 
@@ -461,7 +461,7 @@ def _deleted(t):  # noqa: ANN001, ANN202
     return rows_without(m, m.where("message_index = 0 AND CAST(session_id AS BIGINT) % 5 = 0")).select("session_id", "message_index")
 
 
-@query("tombstones", "SELECT doc_id AS node_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS content_hash FROM documents WHERE doc_id % 50 = 0")
+@query("tombstones", f"SELECT doc_id AS node_id, sha256(trim(regexp_replace(lower(text), '[{text.SPACE}]+', ' ', 'g'))) AS content_hash FROM documents WHERE doc_id % 50 = 0")
 def _tombstones(t):  # noqa: ANN001, ANN202
     return t("documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("node_id"), F.sha2(text.folded(F.col("text")), 256).alias("content_hash"))
 
@@ -470,7 +470,7 @@ def _tombstones(t):  # noqa: ANN001, ANN202
     "tombstones_full",
     f"""WITH e AS (SELECT lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS a, doc_id AS b FROM documents QUALIFY a IS NOT NULL),
     n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY id)
-    SELECT sha256(doc_id || '|{NOW}') AS tombstone_id, doc_id AS node_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS content_hash, coalesce(n, 0)::BIGINT AS edges_removed FROM documents LEFT JOIN n ON id = doc_id""",
+    SELECT sha256(doc_id || '|{NOW}') AS tombstone_id, doc_id AS node_id, sha256(trim(regexp_replace(lower(text), '[{text.SPACE}]+', ' ', 'g'))) AS content_hash, coalesce(n, 0)::BIGINT AS edges_removed FROM documents LEFT JOIN n ON id = doc_id""",
 )
 def _tombstones_full(t):  # noqa: ANN001, ANN202
     """Every document, by deletion.tombstones, with the edges that chain the documents of a source."""
