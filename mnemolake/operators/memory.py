@@ -30,11 +30,15 @@ def candidates(messages: DataFrame, now: Column) -> DataFrame:
     keyed = once.withColumns({"statement": text.statement_key(F.col("content")), "canonical_key": text.canonical_key(F.col("content")), "is_correction": text.is_correction(F.col("content"))})
     stated = first_by(keyed, ["session_id", "statement"], order)
     said = messages.select("session_id", "message_index", F.col("content").alias("said")).withColumn("dates", dates.mentions(F.col("said"), now))
+    # a day that an earlier message of the session named is not named again
+    days = said.select("session_id", "message_index", F.posexplode("dates").alias("place", "d"))
+    days = first_by(days, ["session_id", "d.day"], ["message_index", "place"]).groupBy("session_id", "message_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "d"))), lambda x: x["d"]).alias("dates"))
+    said = said.drop("dates").join(days, ["session_id", "message_index"], "left").withColumn("dates", F.coalesce("dates", F.array().cast(days.schema["dates"].dataType)))
     by = lambda m: F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in m.items()])
     return (
         stated.join(said, ["session_id", "message_index"], "left")
         .withColumn("window", dates.validity(F.col("said"), F.col("dates")))
-        .select("session_id", "message_index", "kind_order", "type", "content", "statement", "canonical_key", "is_correction", by(text.NODE_TYPE).alias("node_type"), by(text.CONFIDENCE).alias("confidence"), "window.valid_from", "window.valid_to")
+        .select("session_id", "message_index", "kind_order", "type", "content", "statement", "canonical_key", "is_correction", by(text.NODE_TYPE).alias("node_type"), by(text.CONFIDENCE).alias("confidence"), "window.valid_from", "window.valid_to", F.coalesce(F.transform("dates", lambda d: d["day"].cast("string")), F.array().cast("array<string>")).alias("mentioned_dates"))
     )
 
 
@@ -76,15 +80,17 @@ def expanded(anchors: DataFrame, edges: DataFrame, decay: float) -> DataFrame:
     return reach.join(anchors.select("query", "node"), ["query", "node"], "left_anti")
 
 
-def mentions(statements: DataFrame, forms: DataFrame, weight: float) -> DataFrame:
-    """Association edges (statement, entity) where a normalised statement holds an entity's normalised form.
+def mentions(statements: DataFrame, forms: DataFrame, weight: float, within: list[str] | None = None) -> DataFrame:
+    """Association edges (statement, entity) where a statement's tokens hold an entity's as a phrase.
 
-    The phrase's first word is the join key; one-word phrases of under three characters are skipped.
+    The phrase's first token is the join key; one-token phrases of under three characters are skipped. `within`
+    names columns that both sides must share.
     """
-    said = statements.select("id", F.concat(F.lit(" "), text.entity_form(F.col("content")), F.lit(" ")).alias("joined"))
-    words = said.select("id", "joined", F.explode(F.array_distinct(F.split(F.trim("joined"), " "))).alias("word"))
-    named = forms.select("entity", "form").where((F.length("form") >= 3) | F.col("form").contains(" ")).withColumn("word", F.split_part("form", F.lit(" "), F.lit(1)))
-    return words.join(named, "word").where(F.col("joined").contains(F.concat(F.lit(" "), "form", F.lit(" ")))).select(F.col("id").alias("source"), F.col("entity").alias("target"), F.lit("association").alias("type"), F.lit(weight).alias("weight")).distinct()
+    also = within or []
+    said = statements.select("id", *also, text.tokens(F.col("content")).alias("t")).select("id", *also, F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("joined"), F.explode(F.array_distinct("t")).alias("word"))
+    named = forms.select("entity", *also, text.tokens(F.col("form")).alias("p")).where((F.size("p") > 1) | (F.length(F.get("p", 0)) >= 3))
+    named = named.select("entity", *also, F.get("p", 0).alias("word"), F.concat(F.lit(" "), F.array_join("p", " "), F.lit(" ")).alias("phrase")).distinct()
+    return said.join(named, ["word", *also]).where(F.col("joined").contains(F.col("phrase"))).select(F.col("id").alias("source"), F.col("entity").alias("target"), F.lit("association").alias("type"), F.lit(weight).alias("weight")).distinct()
 
 
 def alias_index(nodes: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from mnemolake import schema
 from mnemolake.config import DEFAULTS, Settings
-from mnemolake.functions.text import statement_key
+from mnemolake.functions.text import PATTERNS, canonical_key, normalized, statement_key
+from mnemolake.operators.memory import first_by
 
 
 def chunks(messages: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -48,4 +49,17 @@ def proposals(replies: DataFrame, known: DataFrame, s: Settings = DEFAULTS) -> D
     rows = replies.select("session_id", "first", "last", F.explode(parsed(F.col("reply"))).alias("m")).select("session_id", "first", "last", "m.*")
     kept = rows.where((F.trim("content") != "") & (F.col("confidence") >= s.stage2_min_confidence)).withColumn("sources", F.filter("sources", lambda x: x.between(F.col("first"), F.col("last")))).where(F.size("sources") > 0)
     dated = kept.withColumns({"valid_from": F.col("valid_from").try_cast("timestamp"), "valid_to": F.col("valid_to").try_cast("timestamp"), "statement": statement_key(F.col("content"))})
-    return dated.join(known.select("statement").distinct(), "statement", "left_anti").drop("first", "last")
+    keys = [c for c in ("session_id", "statement") if c in known.columns]
+    return dated.join(known.select(*keys).distinct(), keys, "left_anti").drop("first", "last")
+
+
+def as_candidates(proposed: DataFrame) -> DataFrame:
+    """Proposals as candidates like those of `memory.candidates`, the first of a statement in each session; a named slot is their key."""
+    slot = F.when(F.trim("slot") != "", F.concat(F.lit("fact:"), normalized(F.col("slot"))))
+    rows = proposed.select(
+        "session_id", F.array_min("sources").cast("int").alias("message_index"), F.lit(len(PATTERNS) + 1).cast("long").alias("kind_order"), F.trim("content").alias("content"), "statement",
+        F.coalesce(slot, canonical_key(F.col("content"))).alias("canonical_key"), F.coalesce("supersedes_previous", F.lit(False)).alias("is_correction"),
+        F.when(F.col("type").isin("semantic", "procedural", "episodic"), F.col("type")).otherwise("semantic").alias("node_type"), F.least("confidence", F.lit(1.0)).alias("confidence"),
+        F.col("valid_from").cast("date").alias("valid_from"), F.col("valid_to").cast("date").alias("valid_to"), F.array().cast("array<string>").alias("mentioned_dates"), F.array_sort(F.array_distinct("sources")).alias("sources"),
+    )
+    return first_by(rows, ["session_id", "statement"], ["message_index", "content"])
