@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.config import DEFAULTS, Settings
+from mnemolake.durable import kept
 from mnemolake.functions import scoring
 from mnemolake.functions.text import entity_form, is_correction, statement_key, without_label
 from mnemolake.operators import entities, linking, memory, stage2
@@ -78,14 +79,14 @@ def strengthened(nodes: DataFrame, now: Column, s: Settings = DEFAULTS) -> DataF
 
 def _entities(messages: DataFrame, nodes: DataFrame, now: Column, began: DataFrame, extract: entities.Extractor, embed, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
     """(new entity nodes, what is known of old ones, (session_id, entity, form) of all that the batch's sessions name)."""
-    named = entities.extracted(messages, extract).join(began, "session_id").withColumn("ord", F.struct("began", "session_id", "message_index", "position"))
+    named = kept(entities.extracted(messages, extract).join(began, "session_id").withColumn("ord", F.struct("began", "session_id", "message_index", "position")))
     hit = entities.resolved(named.select("name", "label").distinct(), nodes, embed, s)
     both = (F.col("name") == F.col("n")) & F.col("label").eqNullSafe(F.col("l"))
-    known = named.join(hit.select(F.col("name").alias("n"), F.col("label").alias("l"), "entity"), both, "left")
+    known = kept(named.join(hit.select(F.col("name").alias("n"), F.col("label").alias("l"), "entity"), both, "left"))
     old = known.where("entity IS NOT NULL")
     refs = lambda: F.array(F.struct("session_id", F.col("message_index").cast("int").alias("message_index")))
     seen = old.select(F.col("entity").alias("node"), "session_id", refs().alias("refs"), F.trim("name").alias("alias"))
-    new = entities.fresh(known.where("entity IS NULL").select("session_id", "ord", "name", "label"))
+    new = kept(entities.fresh(known.where("entity IS NULL").select("session_id", "ord", "name", "label")))
     first = memory.first_by(new, ["root"], ["ord"])
     # the id comes of the form, so a batch done twice gives the same node
     made = first.select(
@@ -98,7 +99,7 @@ def _entities(messages: DataFrame, nodes: DataFrame, now: Column, began: DataFra
     pool = old.select("session_id", "entity", entity_form(F.col("name")).alias("form")).unionByName(new.select("session_id", F.sha2(F.concat_ws("|", F.lit("entity"), "root"), 256).alias("entity"), "form")).distinct()
     # an entity is mentioned by any of its forms
     every = pool.select("session_id", "entity").distinct().join(entities.forms(nodes).select("entity", "form"), "entity").select("session_id", "entity", "form")
-    return nodes_made, seen, pool.unionByName(every).distinct()
+    return kept(nodes_made), kept(seen), kept(pool.unionByName(every).distinct())
 
 
 def batch(messages: DataFrame, nodes: DataFrame, now: Column, embed: Callable[[Column], Column] | None = None, s: Settings = DEFAULTS, extract: entities.Extractor | None = None, client: Callable[[str], str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -110,17 +111,19 @@ def batch(messages: DataFrame, nodes: DataFrame, now: Column, embed: Callable[[C
     with the nodes as of the batch's start, superseded ones too; a near duplicate adds its references to the
     node instead of becoming one. Ids come of the content, so a batch that is done twice changes nothing.
     """
-    began = messages.groupBy("session_id").agg((F.min("timestamp") if "timestamp" in messages.columns else F.min(now)).alias("began"))
-    found = memory.candidates(messages, now).withColumn("sources", F.array("message_index"))
+    began = kept(messages.groupBy("session_id").agg((F.min("timestamp") if "timestamp" in messages.columns else F.min(now)).alias("began")))
+    # what many branches read is written once: candidates, new nodes
+    found = kept(memory.candidates(messages, now).withColumn("sources", F.array("message_index")))
     if client is not None:
         proposed = stage2.proposals(stage2.asked(stage2.chunks(messages, s), client), found, s)
         found = found.unionByName(stage2.as_candidates(proposed), allowMissingColumns=True)
     found = found.join(began, "session_id").withColumn("entity_type", F.lit(None).cast("string"))
     order = ["began", "session_id", "message_index", "kind_order"]
     found = found.withColumn("id", F.sha2(F.concat_ws("|", "session_id", F.col("message_index").cast("string"), "statement"), 256))
-    first = memory.first_by(found, ["content"], order)
+    found = kept(found)
+    first = kept(memory.first_by(found, ["content"], order))
     again = found.join(first.select(F.col("content").alias("c"), F.col("id").alias("node"), F.col("session_id").alias("home")), F.col("content") == F.col("c")).where("id != node")
-    repeats = again.select("node", "session_id", F.transform("sources", lambda i: F.struct(F.col("session_id").alias("session_id"), i.cast("int").alias("message_index"))).alias("refs"), F.lit(None).cast("string").alias("alias"))
+    repeats = kept(again.select("node", "session_id", F.transform("sources", lambda i: F.struct(F.col("session_id").alias("session_id"), i.cast("int").alias("message_index"))).alias("refs"), F.lit(None).cast("string").alias("alias")))
     made = _nodes(first, now, embed)
     seen = repeats.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
     named = None
@@ -138,9 +141,9 @@ def batch(messages: DataFrame, nodes: DataFrame, now: Column, embed: Callable[[C
         echo = repeats.join(twins.select(F.col("query").alias("node"), F.col("node").alias("to")), "node").select(F.col("to").alias("node"), "session_id", "refs", "alias")
         seen = seen.unionByName(twin).unionByName(echo)
         made = made.join(twins.select(F.col("query").alias("__q")), F.col("id") == F.col("__q"), "left_anti")
-    made = _reinforced(made, repeats)
+    made = kept(_reinforced(made, repeats))
     statements = made.where("entity_type IS NULL")
-    after = strengthened(_superseded(_reinforced(nodes, seen), made, now, s), now, s)
+    after = strengthened(kept(_superseded(kept(_reinforced(nodes, seen)), made, now, s)), now, s)
     edges = memory.chained(statements.where("type = 'episodic'"), ["session_id"], ["message_index", "kind_order"], "id")
     if named is not None:
         edges = edges.unionByName(memory.mentions(statements.select("id", "session_id", "content"), named, s.mention_weight, ["session_id"]))

@@ -20,6 +20,25 @@ def edges_without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(ids, F.col("source") == F.col("__id"), "left_anti").join(ids, F.col("target") == F.col("__id"), "left_anti")
 
 
+def references(refs: Column) -> Column:
+    """References that name a session and a message, each once."""
+    return F.array_distinct(F.filter(F.coalesce(refs, F.array().cast("array<struct<session_id: string, message_index: int>>")), lambda r: r["session_id"].isNotNull() & r["message_index"].isNotNull()))
+
+
+def messages_of(messages: DataFrame, gone: DataFrame) -> DataFrame:
+    """(session_id, message_index) of what deleted nodes were made from: by reference, or by exact content in their sessions where a node has none."""
+    own = gone.withColumn("refs", references(F.col("source_refs")))
+    told = own.select(F.explode("refs").alias("r")).select("r.session_id", "r.message_index")
+    alike = own.where("size(refs) = 0").select(F.explode("source_sessions").alias("session_id"), folded(F.col("content")).alias("key")).distinct()
+    said = messages.select("session_id", "message_index", folded(F.col("content")).alias("key")).join(alike, ["session_id", "key"], "left_semi")
+    return told.join(messages.select("session_id", "message_index"), ["session_id", "message_index"], "left_semi").unionByName(said.select("session_id", "message_index")).distinct()
+
+
+def strategy(source_refs: Column) -> Column:
+    """How a node's messages are found."""
+    return F.when(F.size(references(source_refs)) > 0, "source_refs").otherwise("exact_content")
+
+
 def messages_without(messages: DataFrame, gone: DataFrame) -> DataFrame:
     """Messages less those that deleted nodes refer to, by an index that is never renumbered."""
     refs = gone.select(F.explode("source_refs").alias("r")).select(F.col("r.session_id").alias("session_id"), F.col("r.message_index").alias("message_index"))

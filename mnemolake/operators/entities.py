@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.config import DEFAULTS, Settings
+from mnemolake.durable import kept
 from mnemolake.functions import text
 from mnemolake.operators import linking, memory
 
@@ -76,8 +77,9 @@ def _first_word(form: str) -> Column:
 
 def resolved(names: DataFrame, nodes: DataFrame, embed: Callable[[Column], Column] | None = None, s: Settings = DEFAULTS) -> DataFrame:
     """(name, label, entity) of the names that a node stands for. names: name, label; each pair once."""
-    asked = names.select("name", "label", text.entity_form(F.col("name")).alias("asked")).where("asked != ''")
-    known = forms(nodes)
+    # forms are worked out once, not wherever they are compared
+    asked = kept(names.select("name", "label", text.entity_form(F.col("name")).alias("asked"))).where("asked != ''")
+    known = kept(forms(nodes))
     exact = asked.join(known, F.col("asked") == F.col("form")).where(_fits("label", "own_label")).groupBy("name", "label").agg(F.min("entity").alias("entity"))
     left = asked.join(exact, (asked["name"] == exact["name"]) & asked["label"].eqNullSafe(exact["label"]), "left_anti")
     near = left.join(known.withColumn("word", _first_word("form")), _first_word("asked") == F.col("word")).where(_fits("label", "own_label") & _contained(F.col("asked"), F.col("form")))
@@ -93,7 +95,7 @@ def resolved(names: DataFrame, nodes: DataFrame, embed: Callable[[Column], Colum
 
 def fresh(names: DataFrame) -> DataFrame:
     """(session_id, name, label, root): of names that no node stands for, the first of each form and those contained in one earlier form only. names: session_id, ord, name, label."""
-    asked = names.withColumn("form", text.entity_form(F.col("name"))).where("form != ''")
+    asked = kept(names.withColumn("form", text.entity_form(F.col("name")))).where("form != ''")
     roots = memory.first_by(asked, ["form", "label"], ["ord"]).select("form", "label", "ord", F.concat_ws("|", "label", "form").alias("root"))
     a = roots.select(F.col("form").alias("f"), F.col("label").alias("l"), F.col("ord").alias("o"))
     b = roots.select(F.col("form").alias("g"), F.col("label").alias("m"), F.col("ord").alias("p"), F.col("root").alias("first"))

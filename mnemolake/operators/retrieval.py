@@ -33,18 +33,18 @@ def buffered(buffer: DataFrame, queries: DataFrame, as_of: Column | None = None,
     return hit.select("query", F.lit("").alias("node_id"), "content", (2.0 + F.col("source_msg") * 1e-4).alias("score"), F.lit("buffer").alias("source"), (-F.col("source_msg")).cast("long").alias("ordinal"))
 
 
-def graph(nodes: DataFrame, edges: DataFrame, queries: DataFrame, now: Column, as_of: Column | None = None, include_history: bool = False, s: Settings = DEFAULTS, semantic: bool = True) -> DataFrame:
-    """(query, node_id, content, score, ..., trace) of each query's k best nodes. queries: query, text, embedding."""
+def graph(nodes: DataFrame, edges: DataFrame, queries: DataFrame, now: Column, as_of: Column | None = None, include_history: bool = False, s: Settings = DEFAULTS, semantic: bool = True, every: bool = False) -> DataFrame:
+    """(query, node_id, content, score, ..., trace) of each query's k best nodes, or of all that were ranked. queries: query, text, embedding."""
     hits = bm25.search(nodes, queries, "id", "content", "query", "text", 5 * s.k, s)  # over all nodes; eligibility comes after
     # what several branches read is small, and written once: the hits of a question, its anchors, what they reach
     best = Window.partitionBy("query")
     lexical = kept(hits.select("query", F.col("doc").alias("node"), (F.col("score") / F.max("score").over(best)).alias("lexical")))
-    every = lexical.where(F.col("lexical") >= s.anchor_ratio).select("query", "node")
+    reach = lexical.where(F.col("lexical") >= s.anchor_ratio).select("query", "node")
     if semantic:
         sims = vectors.similar(queries, nodes, "query", "id", "embedding", s.embed_threshold)
-        every = every.union(sims.select("query", "node")).distinct()
+        reach = reach.union(sims.select("query", "node")).distinct()
     pool = nodes.where(eligible(as_of, include_history))
-    anchors = kept(every.join(pool.select(F.col("id").alias("node")), "node", "left_semi").select("query", "node"))
+    anchors = kept(reach.join(pool.select(F.col("id").alias("node")), "node", "left_semi").select("query", "node"))
     reached = anchors.withColumn("association", F.lit(0.0))
     if s.neighbor_expansion:
         reached = reached.unionByName(memory.expanded(anchors, edges, s.neighbor_decay))
@@ -61,8 +61,9 @@ def graph(nodes: DataFrame, edges: DataFrame, queries: DataFrame, now: Column, a
     )
     scored = rows.withColumn("score", scoring.blended(F.col("semantic"), F.col("lexical"), F.col("strength_"), F.col("conf"), F.col("association"), F.col("bonus"), s))
     w = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "node")
-    ranked = scored.withColumn("ordinal", F.row_number().over(w).cast("long")).where(F.col("ordinal") <= s.k)
-    return ranked.select("query", F.col("node").alias("node_id"), "content", "score", F.lit("graph").alias("source"), "ordinal", F.struct("semantic", "lexical", F.col("strength_").alias("strength"), F.col("conf").alias("confidence"), "association", F.col("bonus").alias("status_bonus")).alias("trace"))
+    ranked = scored.withColumn("ordinal", F.row_number().over(w).cast("long"))
+    ranked = ranked if every else ranked.where(F.col("ordinal") <= s.k)
+    return ranked.select("query", "status", F.col("node").alias("node_id"), "content", "score", F.lit("graph").alias("source"), "ordinal", F.struct("semantic", "lexical", F.col("strength_").alias("strength"), F.col("conf").alias("confidence"), "association", F.col("bonus").alias("status_bonus")).alias("trace"))
 
 
 def raw_log(messages: DataFrame, queries: DataFrame, as_of: Column | None = None, s: Settings = DEFAULTS) -> DataFrame:
@@ -74,13 +75,15 @@ def raw_log(messages: DataFrame, queries: DataFrame, as_of: Column | None = None
     return hits.withColumn("score", F.col("score") / F.max("score").over(w) * s.raw_log_scale).join(ids.select("doc", "content"), "doc").select("query", F.lit("").alias("node_id"), "content", "score", F.lit("raw_log").alias("source"), F.col("rank").cast("long").alias("ordinal"))
 
 
-def merged(parts: list[DataFrame], k: int) -> DataFrame:
-    """Union, the best per 200-character prefix, the k best: by score, then source, then ordinal."""
+def merged(parts: list[DataFrame], k: int, trace: bool = False) -> DataFrame:
+    """Union, the best per 200-character prefix, the k best: by score, then source, then ordinal; with the features of graph results, if asked."""
     rank = F.coalesce(*[F.when(F.col("source") == n, i) for i, n in enumerate(("buffer", "graph", "raw_log"))])
     order = [F.round("score", 9).desc(), rank, "ordinal"]
-    every = parts[0].select(*RESULT)
+    none = F.lit(None).cast("struct<semantic: double, lexical: double, strength: double, confidence: double, association: double, status_bonus: double>").alias("trace")
+    part = lambda p: p.select(*RESULT, "trace" if trace and "trace" in p.columns else none)
+    every = part(parts[0])
     for p in parts[1:]:
-        every = every.unionByName(p.select(*RESULT))
+        every = every.unionByName(part(p))
     once = memory.first_by(every, ["query", F.substring("content", 1, 200)], order)
     w = Window.partitionBy("query").orderBy(*order)
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("ordinal")
