@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType, TimestampType
 
 from mnemolake import schema
 from mnemolake.sources import store
@@ -40,7 +40,7 @@ def _timed(df: DataFrame, kind: StructType) -> DataFrame:
 def json_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a JSON graph; what an older version lacks gets its default."""
     node, edge = _textual(schema.NODE), _textual(schema.EDGE)
-    whole = StructType().add("nodes", f"map<string, {node.simpleString()}>").add("edges", f"array<{edge.simpleString()}>")
+    whole = StructType([StructField("nodes", MapType(StringType(), node)), StructField("edges", ArrayType(edge))])
     doc = spark.read.schema(whole).option("multiLine", True).json(path)
     nodes = doc.select(F.explode("nodes").alias("key", "n")).select(F.coalesce("n.id", "key").alias("id"), *[F.col(f"n.{f.name}").alias(f.name) for f in node.fields if f.name != "id"])
     return store.migrated(_timed(nodes, schema.NODE)), _timed(doc.select(F.explode("edges").alias("e")).select("e.*"), schema.EDGE)
@@ -94,7 +94,7 @@ def sqlite_graph(spark: SparkSession, path: str, to: str) -> tuple[DataFrame, Da
 
 def session_logs(spark: SparkSession, folder: str) -> DataFrame:
     """Messages of a folder of JSONL logs: the session is the unquoted file name, the index the line's number."""
-    lines = spark.read.option("wholetext", True).text(f"{folder}/*.jsonl").select(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.jsonl$", "").alias("file"), "value")
+    lines = spark.read.text(f"{folder}/*.jsonl", wholetext=True).select(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.jsonl$", "").alias("file"), "value")
     each = lines.select("file", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("message_index", "line"))
     told = each.select("file", "message_index", F.from_json("line", "timestamp string, role string, content string, metadata map<string,string>").alias("m"))
     # Spark quotes the path once more
