@@ -218,7 +218,10 @@ def _lexical_anchors(t):  # noqa: ANN001, ANN202
     return bm25.anchors(_hits(t, 50), S.anchor_ratio).select("query", "doc", r6("lexical").alias("lexical"))
 
 
-@query("raw_log_fallback", None)
+_MSG = "SELECT conv_id || '/' || lpad(turn::VARCHAR, 9, '0') AS doc_id, coalesce(text, '') AS text FROM conversations"
+
+
+@query("raw_log_fallback", f"WITH msg AS ({_MSG}), {_SCORED.replace('FROM documents', 'FROM msg')} SELECT item_id AS query, text AS content, round(score / max(score) OVER (PARTITION BY item_id) * 0.5, 6) AS score, 'raw_log' AS source, rank::BIGINT AS ordinal FROM rk JOIN msg ON msg.doc_id = rk.doc WHERE rank <= 10")
 def _raw_log(t):  # noqa: ANN001, ANN202
     asked = t("benchmark").select(F.col("item_id").alias("query"), "text")
     m = messages(t).withColumn("timestamp", F.lit(NOW).cast("timestamp"))
@@ -523,3 +526,188 @@ def _eval(t):  # noqa: ANN001, ANN202
 @query("latency_percentiles", "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events")
 def _latency(t):  # noqa: ANN001, ANN202
     return evaluation.latency(t("events"), "value").select(r6("p50").alias("p50"), r6("p95").alias("p95"))
+
+
+# --- operators on their own, over whole tables ---
+
+_WORD_BEFORE, _WORD_AFTER = f"(?:^|[^{text.WORD}])", f"(?:$|[^{text.WORD}])"
+#: Names that are looked for in conversations, with their labels; the last label does not count.
+NAMES = {"that": "LAW", "der": "EVENT", "from": "FAC", "und": "PRODUCT", "le": "LOC", "es": "NORP", "the": "CARDINAL"}
+
+
+def keys_sql(table: str) -> str:
+    """(id, statement, slot, family) of a table with id and content."""
+    return ORACLE["canonical_keys"].replace(_VALUES, table)
+
+
+@query("active_nodes", f"SELECT event_id FROM ({_VERSIONS}) WHERE valid_to IS NULL")
+def _active(t):  # noqa: ANN001, ANN202
+    return _versions(t).withColumn("status", F.when(F.col("valid_to").isNull(), "active").otherwise("superseded")).where(retrieval.eligible(None, False)).select("event_id")
+
+
+@query("entries_by_type", f"SELECT conv_id::VARCHAR AS session_id, turn::INT AS message_index, content FROM ({_FOUND}) WHERE content IS NOT NULL AND type = 'fact'")
+def _by_type(t):  # noqa: ANN001, ANN202
+    return memory.extracted(messages(t)).where("type = 'fact'").select("session_id", "message_index", "content")
+
+
+_ASKED = ["is", "the ", "My", "a"]
+
+
+@query(
+    "buffer_search",
+    f"""WITH e AS (SELECT row_number() OVER (ORDER BY conv_id, turn, kind) AS id, conv_id, turn, kind, content FROM ({_FOUND}) WHERE content IS NOT NULL AND {_ROLE} IN ('user', 'tool_result')),
+    k AS ({keys_sql('e')}), h AS (SELECT q.i AS query, e.*, slot, family, regexp_replace(e.content, '{q(text.re2_pattern(text.CORRECTION_PREFIX))}', '') <> e.content AS fix
+      FROM e JOIN k USING (id) JOIN (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(_ASKED))}) q(i, asked) ON contains(lower(e.content), lower(asked)))
+    SELECT query::BIGINT AS query, content, round(2 + turn * 1e-4, 6) AS score, -turn::BIGINT AS ordinal FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.query = a.query AND b.conv_id = a.conv_id AND (b.turn, b.kind) > (a.turn, a.kind)
+      AND (b.slot = a.slot OR b.fix AND b.family = a.family AND a.family IN ('preference', 'policy') AND b.turn - a.turn BETWEEN 1 AND 3))""",
+)
+def _buffer_search(t):  # noqa: ANN001, ANN202
+    from mnemolake.streaming.ingest import buffer_entries
+
+    asked = t("region").sparkSession.createDataFrame(list(enumerate(_ASKED)), "query long, text string")
+    entries = buffer_entries(messages(t).withColumn("timestamp", F.lit(NOW).cast("timestamp")))
+    return retrieval.buffered(entries, asked).select("query", "content", r6("score").alias("score"), "ordinal")
+
+
+@query("named_entities", " UNION ALL ".join(f"SELECT conv_id::VARCHAR AS session_id, min(turn)::INT AS message_index, '{n}' AS name, '{label}' AS label FROM conversations WHERE regexp_matches(text, '(?i){_WORD_BEFORE}{n}{_WORD_AFTER}') GROUP BY conv_id" for n, label in NAMES.items() if label != "CARDINAL"))
+def _named(t):  # noqa: ANN001, ANN202
+    from mnemolake.operators import entities
+
+    return entities.extracted(messages(t), entities.gazetteer(NAMES)).select("session_id", "message_index", F.lower("name").alias("name"), "label")
+
+
+@query("resolved_entities", "SELECT n_name || ' Holdings' AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'GPE' END AS label, 'n' || n_nationkey AS entity FROM nation UNION ALL SELECT 'www.' || replace(lower(n_name), '_', '-') || '.com', 'GPE', 'n' || n_nationkey FROM nation WHERE NOT contains(n_name, ' ')")
+def _resolved(t):  # noqa: ANN001, ANN202
+    from mnemolake.operators import entities
+
+    n = t("nation")
+    nodes = n.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("GPE: "), "n_name").alias("content"), F.lit(None).cast("string").alias("entity_type"), F.array().cast("array<string>").alias("aliases"))
+    asked = n.select(F.concat("n_name", F.lit(" Holdings")).alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "GPE").alias("label")).unionByName(n.where("NOT contains(n_name, ' ')").select(F.concat(F.lit("www."), F.replace(F.lower("n_name"), F.lit("_"), F.lit("-")), F.lit(".com")).alias("name"), F.lit("GPE").alias("label")))
+    other = n.select(F.col("n_name").alias("name"), F.lit("PERSON").alias("label"))  # of another label: nobody
+    return entities.resolved(asked.unionByName(other), nodes)
+
+
+_HOSTS = f"SELECT DISTINCT replace(regexp_extract(lower(url), '{text.DOMAIN}', 1), '-', ' ') AS form FROM pages WHERE regexp_matches(lower(url), '{text.DOMAIN}')"
+
+
+@query(
+    "entity_mentions",
+    f"""WITH f AS (SELECT form, {tok('form')} AS p FROM (SELECT form FROM ({_HOSTS}) UNION ALL SELECT unnest(['license', 'the house', 'of water'])) WHERE form <> ''),
+    d AS (SELECT doc_id, ' ' || array_to_string({tok('text')}, ' ') || ' ' AS said FROM documents)
+    SELECT DISTINCT doc_id AS source, form AS target, 0.8::DOUBLE AS weight FROM d JOIN f ON contains(said, ' ' || array_to_string(p, ' ') || ' ') WHERE len(p) > 1 OR len(p[1]) >= 3""",
+)
+def _mentions(t):  # noqa: ANN001, ANN202
+    hosts = t("pages").where(F.lower("url").rlike(text.DOMAIN)).select(text.entity_form(F.col("url")).alias("form"))
+    forms = hosts.unionByName(hosts.sparkSession.createDataFrame([("license",), ("the house",), ("of water",)], "form string")).where("form != ''").distinct().withColumn("entity", F.col("form"))
+    return memory.mentions(t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), forms, S.mention_weight).select("source", "target", "weight")
+
+
+@query("stripped_labels", "SELECT c_custkey, c_name AS plain, c_mktsegment AS label FROM customer WHERE regexp_matches(c_mktsegment, '^[A-Z]+$')")
+def _labels(t):  # noqa: ANN001, ANN202
+    from mnemolake.operators.entities import label_of
+
+    said = F.concat_ws(": ", "c_mktsegment", "c_name")
+    return t("customer").where("c_mktsegment RLIKE '^[A-Z]+$'").select("c_custkey", text.without_label(said).alias("plain"), label_of(said, F.lit(None).cast("string")).alias("label"))
+
+
+@query("scoped_questions", "SELECT 'q' || item_id AS id, CASE WHEN item_id IN (SELECT conv_id % 17 FROM conversations) THEN 'q' || item_id ELSE '' END AS \"group\" FROM benchmark")
+def _scoped(t):  # noqa: ANN001, ANN202
+    from mnemolake.replay import group_of, scoped
+
+    sessions = t("conversations").select(group_of(F.concat(F.lit("q"), F.col("conv_id") % 17, F.lit("/"), F.col("conv_id"))).alias("group"))
+    return scoped(t("benchmark").select(F.concat(F.lit("q"), "item_id").alias("id")), sessions).select("id", "group")
+
+
+@query("messages_less_references", "SELECT conv_id::VARCHAR AS session_id, turn::INT AS message_index FROM conversations WHERE NOT (conv_id % 4 = 0 AND turn = 1)")
+def _by_index(t):  # noqa: ANN001, ANN202
+    from mnemolake.operators.deletion import messages_without
+
+    m = messages(t)
+    gone = m.where("CAST(session_id AS BIGINT) % 4 = 0").select("session_id").distinct().select(F.array(F.struct("session_id", F.lit(1).alias("message_index"))).alias("source_refs"))
+    return messages_without(m, gone).select("session_id", "message_index")
+
+
+@query("messages_of_nodes", f"SELECT conv_id::VARCHAR AS session_id, turn::INT AS message_index FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = 0 AND d.conv_id % 3 = 0 AND trim(regexp_replace(lower(d.text), '[{text.SPACE}]+', ' ', 'g')) = trim(regexp_replace(lower(c.text), '[{text.SPACE}]+', ' ', 'g')))")
+def _of_nodes(t):  # noqa: ANN001, ANN202
+    from mnemolake.operators.deletion import messages_of
+
+    m = messages(t)
+    refs = F.array().cast("array<struct<session_id: string, message_index: int>>")
+    gone = m.where("message_index = 0 AND CAST(session_id AS BIGINT) % 3 = 0").select("content", F.array("session_id").alias("source_sessions"), refs.alias("source_refs"))
+    return messages_of(m, gone).select("session_id", "message_index")
+
+
+@query("nodes_less_deleted", "SELECT s_suppkey AS id, len(list_filter([s_suppkey - 1, s_suppkey + 1, s_suppkey + 5], lambda x: x % 5 <> 0))::INT AS left_over FROM supplier WHERE s_suppkey % 5 <> 0")
+def _nodes_less(t):  # noqa: ANN001, ANN202
+    from mnemolake.operators.deletion import nodes_without
+
+    key = F.col("s_suppkey")
+    n = t("supplier").select(key.cast("string").alias("id"), F.array(*[(key + i).cast("string") for i in (-1, 1, 5)]).alias("supersedes"))
+    gone = t("supplier").select((key * 5).cast("string").alias("id")).unionByName(t("region").select(F.lit("0").alias("id")).limit(1))
+    return nodes_without(n, gone).select(F.col("id").cast("long").alias("id"), F.size("supersedes").alias("left_over"))
+
+
+@query("unit_rows", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * 3 * (1 + vec_id % 4))) / sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 3 * (1 + vec_id % 4)) ^ 2))), 6) AS total FROM embeddings")
+def _units(t):  # noqa: ANN001, ANN202
+    scaled = t("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3 * (1 + F.col("vec_id") % 4)).alias("v"))
+    return scaled.select("vec_id", r6(F.aggregate(scoring.unit(F.col("v")), F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@query("rank_scores", "SELECT event_id, round(CASE WHEN sim <= 0 THEN 0 ELSE greatest(0.55 * sim + 0.15 * st + 0.06, 0) END, 6) AS score FROM (SELECT event_id, value / 100.0 - 0.2 AS sim, (event_id % 10) / 10.0 AS st FROM events)")
+def _rank_scores(t):  # noqa: ANN001, ANN202
+    return t("events").select("event_id", r6(scoring.rank_score(F.col("value") / 100.0 - 0.2, F.col("event_id") % 10 / 10.0)).alias("score"))
+
+
+_SLOTS = """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS msg, ts,
+  CASE event_id % 3 WHEN 0 THEN 'preference:' || event_type WHEN 1 THEN 'policy:use:' || event_type ELSE 'fact:' || user_id || event_type END || ':' || user_id AS key,
+  CASE event_id % 3 WHEN 0 THEN 'preference' WHEN 1 THEN 'policy' ELSE 'fact' END AS family, event_type || (round(value)::BIGINT % 3) AS statement, event_id % 5 = 0 AS fix FROM events"""
+
+
+@query(
+    "corrections",
+    f"""WITH e AS ({_SLOTS}) SELECT a.event_id AS id, min_by(b.event_id, (b.ts, b.event_id)) AS by FROM e a JOIN e b ON a.user_id = b.user_id AND (b.ts, b.event_id) > (a.ts, a.event_id) AND a.statement <> b.statement
+    AND (a.key = b.key OR b.fix AND a.family = b.family AND a.family <> 'fact' AND b.msg - a.msg BETWEEN 1 AND 3) GROUP BY a.event_id""",
+)
+def _corrections(t):  # noqa: ANN001, ANN202
+    """Both arms of supersession: the key, and corrections of implicit slots within three messages."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    kind = F.col("event_id") % 3
+    key = F.when(kind == 0, F.concat(F.lit("preference:"), "event_type")).when(kind == 1, F.concat(F.lit("policy:use:"), "event_type")).otherwise(F.concat(F.lit("fact:"), "user_id", "event_type"))
+    rows = t("events").select(F.col("event_id").alias("id"), F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id").alias("ord"), F.concat(key, F.lit(":"), "user_id").alias("key"), F.concat("event_type", (F.round("value").cast("long") % 3).cast("string")).alias("statement"), (F.col("event_id") % 5 == 0).alias("is_correction"), F.col("user_id").cast("string").alias("session"), F.row_number().over(w).alias("msg"))
+    return memory.superseded(rows).select("id", "by")
+
+
+@query("accepted_proposals", "SELECT user_id::VARCHAR AS session_id, event_type || ' ' || event_id AS content, round(least(value / 50, 1.0), 6) AS confidence, (event_id % 12)::INT AS source FROM events WHERE value / 50 >= 0.5 AND event_id % 12 BETWEEN 2 AND 9")
+def _proposals(t):  # noqa: ANN001, ANN202
+    """Replies with prose around them, one proposal each, with a source inside or outside of the chunk."""
+    reply = F.concat(F.lit('noise {"memories": [{"content": "'), "event_type", F.lit(" "), "event_id", F.lit('", "confidence": '), (F.col("value") / 50).cast("string"), F.lit(', "sources": ['), F.col("event_id") % 12, F.lit("]}]} end"))
+    replies = t("events").select(F.col("user_id").cast("string").alias("session_id"), F.lit(2).alias("first"), F.lit(9).alias("last"), reply.alias("reply"))
+    known = t("region").select(F.lit("nothing").alias("statement"))
+    return stage2.as_candidates(stage2.proposals(replies, known)).select("session_id", "content", r6("confidence").alias("confidence"), F.get("sources", 0).alias("source"))
+
+
+@query("eval_full", f"WITH {_SCORED}, h AS (SELECT b.item_id, min(rank) FILTER (WHERE contains(lower(d.text), lower(b.text))) AS rank, coalesce(bool_or(contains(lower(d.text), 'license')), false) AS bad FROM benchmark b LEFT JOIN rk ON rk.item_id = b.item_id AND rank <= 5 LEFT JOIN documents d ON d.doc_id = rk.doc GROUP BY ALL) SELECT item_id % 4 AS category, count(*)::BIGINT AS questions, round(avg((rank IS NOT NULL)::INT), 6) AS recall, round(avg(coalesce(1 / log2(rank + 1), 0)), 6) AS ndcg, round(avg(bad::INT), 6) AS contradiction_rate FROM h GROUP BY item_id % 4")
+def _eval_full(t):  # noqa: ANN001, ANN202
+    results = _hits(t).join(t("documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content")), "doc").select("query", "content", "rank")
+    asked = t("benchmark").select(F.col("item_id").alias("question"), (F.col("item_id") % 4).alias("category"), F.array("text").alias("expected"), F.array(F.lit("License")).alias("forbidden"))
+    s = evaluation.summary(evaluation.first_hits(results, asked), ["category"])
+    return s.select("category", "questions", *[r6(c).alias(c) for c in ("recall", "ndcg", "contradiction_rate")])
+
+
+@query(
+    "consolidated_nodes",
+    f"""WITH c AS ({ORACLE["candidates"].replace("SELECT session_id, message_index::INT AS message_index, type, statement,", "SELECT session_id, message_index::INT AS message_index, type, kind, content, statement,")}),
+    o AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY session_id, message_index, kind) AS n, count(*) OVER (PARTITION BY content) AS told, row_number() OVER (ORDER BY session_id, message_index, kind) AS id FROM c),
+    f AS (SELECT id, session_id, message_index, content, statement, node_type, confidence, told, regexp_replace(content, '{q(text.re2_pattern(text.CORRECTION_PREFIX))}', '') <> content AS fix FROM o WHERE n = 1), k AS ({keys_sql('f').replace('SELECT id::BIGINT AS id, s AS statement,', 'SELECT id::BIGINT AS id,')}),
+    x AS (SELECT f.*, slot, family FROM f JOIN k USING (id))
+    SELECT session_id, message_index, content, node_type, slot, told::BIGINT AS access_count, CASE WHEN EXISTS (SELECT 1 FROM x b WHERE b.id > a.id AND b.statement <> a.statement AND (b.slot = a.slot OR b.fix AND b.session_id = a.session_id AND b.family = a.family AND a.family IN ('preference', 'policy') AND b.message_index - a.message_index BETWEEN 1 AND 3)) THEN 'superseded' ELSE 'active' END AS status FROM x a""",
+)
+def _consolidated(t):  # noqa: ANN001, ANN202
+    """One batch over the whole log, from an empty store."""
+    from mnemolake import schema
+    from mnemolake.operators import consolidate
+
+    m = messages(t)
+    after, _ = consolidate.batch(m, m.sparkSession.createDataFrame([], schema.NODE), F.lit(NOW).cast("timestamp"))
+    ref = F.get("source_refs", 0)
+    return after.select(ref["session_id"].alias("session_id"), ref["message_index"].alias("message_index"), "content", F.col("type").alias("node_type"), F.col("canonical_key").alias("slot"), "access_count", "status")

@@ -52,6 +52,17 @@ def scored(spark: SparkSession, cases: list[dict]) -> tuple[dict, dict]:
     return totals, {r.category: {"questions": r.questions, "recall_at_k": r.recall} for r in evaluation.summary(hits, ["category"]).orderBy("category").collect()}
 
 
+def group_of(session_id: Column, scope: bool = True) -> Column:
+    """The instance that a session belongs to: what stands before its first slash, or none."""
+    return F.when(session_id.contains("/"), F.substring_index(session_id, "/", 1)).otherwise("") if scope else F.lit("")
+
+
+def scoped(questions: DataFrame, groups: DataFrame) -> DataFrame:
+    """Questions with the group that they are asked of: the one that bears their id, else the shared one. groups: group."""
+    own = groups.select(F.col("group").alias("id")).distinct().withColumn("own", F.lit(True))
+    return questions.join(own, "id", "left").withColumn("group", F.when(F.col("own"), F.col("id")).otherwise("")).drop("own")
+
+
 def run(spark: SparkSession, root: str, messages: DataFrame, questions: DataFrame, k: int = 5, settings: Settings = DEFAULTS, embed: Callable[[Column], Column] | None = None, extract=None, client=None, session_scope: bool = True, name: str = "corpus") -> dict:  # noqa: ANN001
     """Replay a corpus and score every question. messages and questions as `store.native_corpus` and `store.longmemeval` give them.
 
@@ -60,15 +71,14 @@ def run(spark: SparkSession, root: str, messages: DataFrame, questions: DataFram
     other under `root`; a store's sessions are folded in one job, however many they are.
     """
     settings = replace(settings, cold_start_sessions=0, k=k)
-    prefix = F.when(F.col("session_id").contains("/"), F.substring_index("session_id", "/", 1)).otherwise("") if session_scope else F.lit("")
-    log = messages.withColumn("group", prefix)
+    log = messages.withColumn("group", group_of(F.col("session_id"), session_scope))
     groups = sorted(r.group for r in log.select("group").distinct().collect())
     wide = questions
     for c, t in (("forbidden", "array<string>"), ("as_of", "string"), ("category", "string")):
         wide = wide if c in wide.columns else wide.withColumn(c, F.lit(None).cast(t))
     by: dict[str, list] = {}
-    for q in wide.collect():
-        by.setdefault(q.id if q.id in groups else "", []).append(q)
+    for q in scoped(wide, log).collect():
+        by.setdefault(q.group, []).append(q)
     cases, took, nodes, spent = [], [], 0, 0.0
     none = spark.createDataFrame([], schema.BUFFER_ENTRY)
     for i, group in enumerate(groups):
