@@ -304,23 +304,30 @@ def segments(text: str, most: int = SEGMENT) -> Iterator[str]:
 _EMITTED = ("", None)
 
 
+class _Said(dict):
+    """The bytes of each id, worked out once; there are as many as the vocabulary has."""
+
+    def __init__(self, made: Callable[[int], bytes]) -> None:
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, key: int) -> bytes:
+        got = self[key] = self.made(key)
+        return got
+
+
 class Decoder:
     """Ids to text by way of bytes, in pieces. `strings` tells each id's token, `spoken` a token's bytes, and `between` stands between two."""
 
     def __init__(self, strings: list[str], spoken: Callable[[str], bytes] = str.encode, between: bytes = b" ") -> None:
-        self.strings, self.spoken, self.between = strings, spoken, between
+        self.between = between
         self.began = False
-        self.known: dict[int, bytes] = {}
+        self.known = _Said(lambda i: spoken(strings[i]))
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
         """The text that is certain by now; a broken sequence becomes U+FFFD."""
-        known, strings = self.known, self.strings
-        said = []
-        for i in ids:
-            if i not in known:
-                known[i] = self.spoken(strings[i])
-            said.append(known[i])
+        said = list(map(self.known.__getitem__, ids))
         if not said:
             return ""
         data = self.between.join(said)
