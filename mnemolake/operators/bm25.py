@@ -34,24 +34,22 @@ def idf(post: DataFrame, stat: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, length, terms) of every document, by one pass: its length and, of the asked terms that it holds, how often. Written once, for all that is read from it."""
+    """(doc, length, some) of every document, by one pass over the texts: its length, and its tokens that are asked for. Written once, for all that is read from it."""
     wanted = [r.term for r in asked.select("term").distinct().collect()]  # the terms of a batch of questions
     each = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("tokens"))
-    some = each.select("doc", F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(wanted)).alias("some"))
-    counted = F.transform(F.array_distinct("some"), lambda t: F.struct(t.alias("term"), (F.size("some") - F.size(F.array_remove("some", t))).alias("tf")))
-    return kept(some.select("doc", "length", counted.alias("terms")))
+    return kept(each.select("doc", F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(wanted)).alias("some")))
 
 
 def scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, qid: str, qtext: str, s: Settings = DEFAULTS) -> DataFrame:
     """(query, doc, score) of every pair with a score above 0.
 
-    A document is one row, so its counts need no shuffle; the terms asked for, with weights, are broadcast: they
-    are those of one batch of questions. Only scores are dealt, summed per task first.
+    The texts are read once. A document's tokens are counted in its own task first, and the terms asked for,
+    with weights, are broadcast: they are those of one batch of questions. Only counts and scores are dealt.
     """
     asked = kept(queries.select(F.col(qid).alias("query"), F.explode(tokens(F.col(qtext))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times")))
     held = hits(docs, asked, id_col, text_col)
     n, total = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    post = held.select("doc", "length", F.explode_outer("terms").alias("t")).where("t IS NOT NULL").select("doc", "length", "t.term", "t.tf")
+    post = held.select("doc", "length", F.explode_outer("some").alias("term")).where("term IS NOT NULL").groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = asked.join(df, "term").select("query", "term", (F.col("times") * F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"))
     length = F.col("length") * n / total if total else F.lit(0.0)
