@@ -50,9 +50,10 @@ def scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, qid:
     held = hits(docs, asked, id_col, text_col)
     n, total = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     post = held.select("doc", "length", F.explode_outer("some").alias("term")).where("term IS NOT NULL").groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # a document counts once for each of its terms: told by its row alone, summed per task before anything is dealt
+    df = held.select(F.explode_outer(F.array_distinct("some")).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = asked.join(df, "term").select("query", "term", (F.col("times") * F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"))
-    length = F.col("length") * n / total if total else F.lit(0.0)
+    length = F.col("length") / F.lit(total / n) if total else F.lit(0.0)
     part = F.col("weight") * (F.col("tf") * (s.k1 + 1)) / (F.col("tf") + s.k1 * (1 - s.b + s.b * length))
     return post.join(F.broadcast(weighed), "term").groupBy("query", "doc").agg(F.sum(part).alias("score")).where("score > 0")
 

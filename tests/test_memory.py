@@ -218,3 +218,11 @@ def test_session_lifecycle(spark, tmp_path):
 
 def test_defaults_sum():
     assert DEFAULTS.w_semantic + DEFAULTS.w_lexical + DEFAULTS.w_strength + DEFAULTS.w_confidence + DEFAULTS.w_association == pytest.approx(1.1)
+
+
+def test_bm25_lengths_of_many_long_documents_do_not_overflow(spark):
+    """A document's length times the number of documents is beyond 32 bits."""
+    docs = spark.range(60_000).selectExpr("id", "if(id = 0, repeat('word ', 50000), 'word') AS c")
+    q = spark.createDataFrame([(0, "word")], "q int, t string")
+    rows = bm25.search(docs, q, "id", "c", "q", "t", 3).collect()
+    assert len(rows) == 3 and all(r.score > 0 for r in rows)
