@@ -43,13 +43,14 @@ def hits(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataF
 def scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, qid: str, qtext: str, s: Settings = DEFAULTS) -> DataFrame:
     """(query, doc, score) of every pair with a score above 0.
 
-    The texts are read once. A document's tokens are counted in its own task first, and the terms asked for,
-    with weights, are broadcast: they are those of one batch of questions. Only counts and scores are dealt.
+    The texts are read once, and a document's asked tokens are dealt once. The terms asked for, with weights, are
+    broadcast: they are those of one batch of questions.
     """
     asked = kept(queries.select(F.col(qid).alias("query"), F.explode(tokens(F.col(qtext))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times")))
     held = hits(docs, asked, id_col, text_col)
     n, total = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    post = held.select("doc", "length", F.explode_outer("some").alias("term")).where("term IS NOT NULL").groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # dealt by document before its tokens are spread: neither their counts nor the scores are dealt again
+    post = held.repartition("doc").select("doc", "length", F.explode_outer("some").alias("term")).where("term IS NOT NULL").groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     # a document counts once for each of its terms: told by its row alone, summed per task before anything is dealt
     df = held.select(F.explode_outer(F.array_distinct("some")).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = asked.join(df, "term").select("query", "term", (F.col("times") * F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"))
