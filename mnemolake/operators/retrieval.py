@@ -33,8 +33,8 @@ def buffered(buffer: DataFrame, queries: DataFrame, as_of: Column | None = None,
     return hit.select("query", F.lit("").alias("node_id"), "content", (2.0 + F.col("source_msg") * 1e-4).alias("score"), F.lit("buffer").alias("source"), (-F.col("source_msg")).cast("long").alias("ordinal"))
 
 
-def graph(nodes: DataFrame, edges: DataFrame, queries: DataFrame, now: Column, as_of: Column | None = None, include_history: bool = False, s: Settings = DEFAULTS, semantic: bool = True, every: bool = False) -> DataFrame:
-    """(query, node_id, content, score, ..., trace) of each query's k best nodes, or of all that were ranked. queries: query, text, embedding."""
+def graph(nodes: DataFrame, edges: DataFrame, queries: DataFrame, now: Column, as_of: Column | None = None, include_history: bool = False, s: Settings = DEFAULTS, semantic: bool = True, every: bool = False, p90: float | None = None) -> DataFrame:
+    """(query, node_id, content, score, ..., trace) of each query's k best nodes, or of all that were ranked. queries: query, text, embedding. p90: of the access counts, where it is given; else it is theirs."""
     hits = bm25.search(nodes, queries, "id", "content", "query", "text", 5 * s.k, s)  # over all nodes; eligibility comes after
     # what several branches read is small, and written once: the hits of a question, its anchors, what they reach
     best = Window.partitionBy("query")
@@ -49,14 +49,14 @@ def graph(nodes: DataFrame, edges: DataFrame, queries: DataFrame, now: Column, a
     if s.neighbor_expansion:
         reached = reached.unionByName(memory.expanded(anchors, edges, s.neighbor_decay))
     reached = kept(reached)
-    p90 = scoring.p90_of(nodes, "access_count")
+    often = scoring.p90_of(nodes, "access_count") if p90 is None else nodes.sparkSession.createDataFrame([(p90,)], "p90 double")
     sim = scoring.cosine(F.col("q_embedding"), F.col("embedding")) if semantic else F.lit(0.0)
     bonus = F.when(F.lit(as_of is not None) | (F.col("status") == "active"), 1.0).otherwise(0.0)
     rows = (
         reached.join(pool, F.col("node") == F.col("id"))
         .join(queries.select("query", *([F.col("embedding").alias("q_embedding")] if semantic else [])), "query")
         .join(lexical, ["query", "node"], "left")
-        .crossJoin(F.broadcast(p90))  # one row
+        .crossJoin(F.broadcast(often))  # one row
         .withColumns({"semantic": F.when(F.size("embedding") > 0, sim).otherwise(0.0), "lexical": F.coalesce("lexical", F.lit(0.0)), "strength_": scoring.strength(F.col("last_accessed"), F.col("access_count"), now, F.col("p90"), s), "conf": scoring.clamp(F.col("confidence")), "bonus": bonus})
     )
     scored = rows.withColumn("score", scoring.blended(F.col("semantic"), F.col("lexical"), F.col("strength_"), F.col("conf"), F.col("association"), F.col("bonus"), s))
