@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.config import DEFAULTS, Settings
+from mnemolake.durable import kept
 from mnemolake.functions import dates, text
 
+#: Phrases that `mentions` may broadcast; above it they are joined by shuffle.
+BROADCAST_FORMS = 200_000
+
 
 def extracted(messages: DataFrame, roles: tuple[str, ...] | None = None) -> DataFrame:
     """(session_id, message_index, type, content) from messages; `roles` narrows to those (the buffer takes user and tool_result)."""
@@ -80,17 +84,25 @@ def expanded(anchors: DataFrame, edges: DataFrame, decay: float) -> DataFrame:
     return reach.join(anchors.select("query", "node"), ["query", "node"], "left_anti")
 
 
-def mentions(statements: DataFrame, forms: DataFrame, weight: float, within: list[str] | None = None) -> DataFrame:
+def mentions(statements: DataFrame, forms: DataFrame, weight: float, within: list[str] | None = None, broadcast: int = BROADCAST_FORMS) -> DataFrame:
     """Association edges (statement, entity) where a statement's tokens hold an entity's as a phrase.
 
-    The phrase's first token is the join key; one-token phrases of under three characters are skipped. `within`
-    names columns that both sides must share.
+    A statement's runs of tokens, as long as phrases are, meet the phrases by equality; its text goes nowhere. Up to
+    `broadcast` phrases go to the statements, and only what is found is dealt; more are joined by shuffle. One-token
+    phrases of under three characters are skipped. `within` names columns that both sides must share.
     """
     also = within or []
-    said = statements.select("id", *also, text.tokens(F.col("content")).alias("t")).select("id", *also, F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("joined"), F.explode(F.array_distinct("t")).alias("word"))
     named = forms.select("entity", *also, text.tokens(F.col("form")).alias("p")).where((F.size("p") > 1) | (F.length(F.get("p", 0)) >= 3))
-    named = named.select("entity", *also, F.get("p", 0).alias("word"), F.concat(F.lit(" "), F.array_join("p", " "), F.lit(" ")).alias("phrase")).distinct()
-    return said.join(named, ["word", *also]).where(F.col("joined").contains(F.col("phrase"))).select(F.col("id").alias("source"), F.col("entity").alias("target"), F.lit("association").alias("type"), F.lit(weight).alias("weight")).distinct()
+    named = kept(named.select("entity", *also, F.size("p").alias("n"), F.array_join("p", " ").alias("phrase")).distinct())
+    lengths = named.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy("n").collect()  # a row for each length that phrases have
+    t = statements.select("id", *also, text.tokens(F.col("content")).alias("t"))
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.array_join(F.slice("t", i, n), " "))
+    runs = [F.col("t") if n == 1 else F.when(F.size("t") >= n, run(n)).otherwise(F.array().cast("array<string>")) for n in (r.n for r in lengths)]
+    # not explode: Spark would work the runs out a second time, to see whether there are any
+    said = t.select("id", *also, F.explode_outer(F.array_distinct(F.concat(*runs, F.array().cast("array<string>")))).alias("phrase"))
+    named = named.drop("n")
+    found = said.join(F.broadcast(named) if sum(r.k for r in lengths) <= broadcast else named, ["phrase", *also])
+    return found.select(F.col("id").alias("source"), F.col("entity").alias("target"), F.lit("association").alias("type"), F.lit(weight).alias("weight")).distinct()
 
 
 def alias_index(nodes: DataFrame) -> DataFrame:
