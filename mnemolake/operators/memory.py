@@ -11,6 +11,8 @@ from mnemolake.functions import dates, text
 
 #: Phrases that `mentions` may broadcast; above it they are joined by shuffle.
 BROADCAST_FORMS = 200_000
+#: Slots of hashes of phrases, of which those that some phrase has are broadcast to keep most other runs from the shuffle.
+FORM_SLOTS = 1 << 20
 
 
 def extracted(messages: DataFrame, roles: tuple[str, ...] | None = None) -> DataFrame:
@@ -88,8 +90,9 @@ def mentions(statements: DataFrame, forms: DataFrame, weight: float, within: lis
     """Association edges (statement, entity) where a statement's tokens hold an entity's as a phrase.
 
     A statement's runs of tokens, as long as phrases are, meet the phrases by equality; its text goes nowhere. Up to
-    `broadcast` phrases go to the statements, and only what is found is dealt; more are joined by shuffle. One-token
-    phrases of under three characters are skipped. `within` names columns that both sides must share.
+    `broadcast` phrases go to the statements, and only what is found is dealt; more are joined by shuffle, where
+    only runs are dealt whose hash falls in a slot of some phrase's. One-token phrases of under three characters are
+    skipped. `within` names columns that both sides must share.
     """
     also = within or []
     named = forms.select("entity", *also, text.tokens(F.col("form")).alias("p")).where((F.size("p") > 1) | (F.length(F.get("p", 0)) >= 3))
@@ -97,11 +100,16 @@ def mentions(statements: DataFrame, forms: DataFrame, weight: float, within: lis
     lengths = named.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy("n").collect()  # a row for each length that phrases have
     t = statements.select("id", *also, text.tokens(F.col("content")).alias("t"))
     run = lambda n: F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.array_join(F.slice("t", i, n), " "))
-    runs = [F.col("t") if n == 1 else F.when(F.size("t") >= n, run(n)).otherwise(F.array().cast("array<string>")) for n in (r.n for r in lengths)]
+    runs = [F.filter("t", lambda x: F.length(x) >= 3) if n == 1 else F.when(F.size("t") >= n, run(n)).otherwise(F.array().cast("array<string>")) for n in (r.n for r in lengths)]
     # not explode: Spark would work the runs out a second time, to see whether there are any
     said = t.select("id", *also, F.explode_outer(F.array_distinct(F.concat(*runs, F.array().cast("array<string>")))).alias("phrase"))
     named = named.drop("n")
-    found = said.join(F.broadcast(named) if sum(r.k for r in lengths) <= broadcast else named, ["phrase", *also])
+    if sum(r.k for r in lengths) <= broadcast:
+        named = F.broadcast(named)
+    else:
+        slot = F.pmod(F.xxhash64("phrase"), F.lit(FORM_SLOTS)).alias("slot")
+        said = said.where("phrase IS NOT NULL").withColumn("slot", slot).join(F.broadcast(named.select(slot).distinct()), "slot", "left_semi").drop("slot")
+    found = said.join(named, ["phrase", *also])
     return found.select(F.col("id").alias("source"), F.col("entity").alias("target"), F.lit("association").alias("type"), F.lit(weight).alias("weight")).distinct()
 
 
